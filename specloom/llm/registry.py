@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from specloom.llm import mixing, quality, sharding
+from specloom.llm import mixing, ngram_join, quality, sharding
 
-MODULES = (quality, mixing, sharding)
+MODULES = (ngram_join, quality, mixing, sharding)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
