@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from specloom.llm import decontamination, mixing, ngram_join, quality, sharding
+from specloom.llm import decontamination, mixing, ngram_join, quality, sharding, spans
 
-MODULES = (decontamination, ngram_join, quality, mixing, sharding)
+MODULES = (decontamination, ngram_join, quality, mixing, sharding, spans)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
