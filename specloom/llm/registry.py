@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from specloom.llm import decontamination, licenses, mixing, ngram_join, quality, sharding, spans
+from specloom.llm import decontamination, licenses, lines, mixing, ngram_join, quality, sharding, spans
 
-MODULES = (decontamination, ngram_join, quality, mixing, sharding, spans, licenses)
+MODULES = (decontamination, ngram_join, quality, mixing, sharding, spans, licenses, lines)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
