@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from specloom.plans import diff, graph, text
+
+MODULES = (text, graph, diff)
+QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
