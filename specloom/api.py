@@ -52,7 +52,7 @@ def changelog(old: Graph, new: Graph) -> DataFrame:
 
 
 class Catalog:
-    """Stored versions under a folder; each is read once and cached."""
+    """Stored versions under a folder; each is read once and kept."""
 
     def __init__(self, spark: SparkSession, folder: str | Path) -> None:
         self.spark, self.folder, self._loaded = spark, Path(folder), {}
@@ -60,7 +60,7 @@ class Catalog:
     def graph(self, version: str) -> Graph:
         """S7."""
         if version not in self._loaded:
-            self._loaded[version] = metadata.load(self.spark, self.folder, version).cached()
+            self._loaded[version] = metadata.load(self.spark, self.folder, version).cut()
         return self._loaded[version]
 
     def versions(self) -> list[dict]:

@@ -12,6 +12,7 @@ from specloom.functions import text
 from specloom.functions.lexicon import RFC2119, Lexicon
 from specloom.operators import integrate, prose
 from specloom.schemas import TABLES
+from specloom.session import cut
 
 #: Types that other standards define.
 EXTERNAL = {"CoseSign1": "COSE_Sign1 structure (RFC 9052)", "CoseKey": "COSE_Key structure (RFC 9052)"}
@@ -53,8 +54,9 @@ class Graph:
         keys = {"entity": ["version", "name"], "enum_type": ["version", "name"], "type_alias": ["version", "name"]}.get(table)
         return replace(self, **{table: integrate.last_wins(merged, keys) if keys else merged})
 
-    def cached(self) -> Graph:
-        return Graph(**{n: t.cache() for n, t in self.tables().items()})
+    def cut(self) -> Graph:
+        """The same tables, written and read again, so that what follows doesn't plan the build anew."""
+        return Graph(**{n: cut(t) for n, t in self.tables().items()})
 
     def views(self, prefix: str = "") -> None:
         """Every table as a temporary view, for Spark SQL."""
@@ -82,7 +84,8 @@ class Graph:
 
 def merge_json(entity: DataFrame, prop: DataFrame, edge: DataFrame, js: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Blanks filled from JSON Schema entities, and those of new names with any property appended."""
-    matched = integrate.match_names(entity, js["entity"], ["version"], "js")
+    entity, prop, edge, js = cut(entity), cut(prop), cut(edge), {k: cut(t) for k, t in js.items()}
+    matched = cut(integrate.match_names(entity, js["entity"], ["version"], "js"))
     about = js["entity"].select("version", F.col("name").alias("js"), "description")
     filled = integrate.fill_blanks(matched, about, [("version", "version"), ("js", "js")])
     pairs = matched.select(F.col("version").alias("mv"), F.col("name").alias("mn"), "js")
@@ -119,11 +122,11 @@ def build(versions: DataFrame, cddl: dict[str, DataFrame], js: dict[str, DataFra
     """
     entity, prop, edge = merge_json(cddl["entity"], cddl["property"], cddl["relationship"], js)
     docs = assertions.select("version", F.regexp_replace("file", r"\.adoc$", "").alias("stem"), text.assertion_description(F.col("text")).alias("about")).where("about is not null")
-    entity = merge_assertions(entity, docs)
-    enum = cddl["enum_type"]
+    entity, prop = cut(merge_assertions(entity, docs)), cut(prop)
+    enum = cut(cddl["enum_type"])
     known = integrate.canonical_names(entity, enum)
     alias = integrate.type_aliases(prop, known, EXTERNAL)
-    prop = integrate.normalise_references(prop, known)
+    prop = cut(integrate.normalise_references(prop, known))
     edges = edge.unionByName(integrate.infer_edges(prop, entity))
     rules = prose.rules(validation, ["version"], lexicon)
     codes = prose.status_codes(validation, ["version"])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specloom.functions import names
+from specloom.session import cut
 
 ENTITY_SCORE, PROPERTY_SCORE = 0.7, 0.6
 CHANGE = ("kind", "ord", "entity", "change", "details", "old_value", "new_value")
@@ -64,6 +65,7 @@ def rename_entities(old: DataFrame, new: DataFrame) -> DataFrame:
     tries = b.select(F.col("name").alias("old"), F.posexplode("aliases").alias("p", "alias")).withColumn("key", names.normalise(F.col("alias")))
     # the roles are swapped: in order of the new names, each takes the old one of its first alias
     by_alias = greedy(tries.join(index, "key").groupBy("old", "new").agg(F.min("p").alias("p")).withColumn("score", -F.col("p")), []).select(F.col("new").alias("old"), F.col("old").alias("new"))
+    by_alias = cut(by_alias)
     a2 = a.join(by_alias.select(F.col("old").alias("name")), "name", "left_anti")
     b2 = b.join(by_alias.select(F.col("new").alias("name")), "name", "left_anti")
     # a name adds 0.4 at most, so less overlap than this can't reach the score
@@ -83,8 +85,8 @@ def rename_properties(pairs: DataFrame) -> DataFrame:
 
 def diff_properties(old: DataFrame, new: DataFrame) -> DataFrame:
     """``entity`` and ``details`` of entities whose properties (by ``entity, name``) differ."""
-    pairs = outer(old, new, ["entity", "name"])
-    renamed = rename_properties(pairs)
+    pairs = cut(outer(old, new, ["entity", "name"]))
+    renamed = cut(rename_properties(pairs))
     sig = [F.struct(*[F.col(f"{s}.{c}").alias(c) for c in names.SIGNATURE]) for s in ("o", "n")]
     changed = pairs.withColumn("what", status(~sig[0].eqNullSafe(sig[1]))).where("what is not null")
     change = F.when(F.col("what") == "modified", F.concat("name", F.lit(": "), names.describe_change(sig[0], sig[1]))).otherwise(F.col("name"))
@@ -105,13 +107,13 @@ def _entities(entities: DataFrame, properties: DataFrame) -> DataFrame:
 
 def diff_entities(old: DataFrame, new: DataFrame, old_props: DataFrame, new_props: DataFrame) -> DataFrame:
     """Renamed, added, removed, then modified and deprecated entities; a newly deprecated one isn't compared further."""
-    a, b = _entities(old, old_props), _entities(new, new_props)
-    renames = rename_entities(a, b)
+    a, b = cut(_entities(old, old_props)), cut(_entities(new, new_props))
+    renames = cut(rename_entities(a, b))
     # properties of a renamed entity are compared under its new name
     moved = old_props.join(renames, old_props["entity"] == renames["old"], "left")
     moved = moved.withColumn("entity", F.coalesce(F.col("new"), old_props["entity"])).drop("old", "new")
     both = b.select(F.col("name").alias("entity")).join(a.select(F.col("name").alias("entity")).unionByName(renames.select(F.col("new").alias("entity"))), "entity", "left_semi")
-    details = diff_properties(moved.join(both, "entity", "left_semi"), new_props.join(both, "entity", "left_semi"))
+    details = cut(diff_properties(moved.join(both, "entity", "left_semi"), new_props.join(both, "entity", "left_semi")))
     null = F.lit(None).cast("string")
     renamed = renames.join(details, renames["new"] == details["entity"], "left").select(
         F.lit(0).alias("ord"), F.col("new").alias("entity"), F.lit("renamed").alias("change"), F.concat_ws(" | ", F.concat("old", F.lit(" -> "), "new"), "details").alias("details"),

@@ -42,3 +42,17 @@ def prepare(spark: SparkSession) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver tables under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Folder of checkpoints: the cluster's ``spark.checkpoint.dir``, or one in the warehouse where it is unset (tests)."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there: what follows plans and recovers from it alone."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

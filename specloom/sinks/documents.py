@@ -149,7 +149,7 @@ def write_pointer(version: str, folder: str | Path, address: str = "") -> None:
 def write_all(graph: Graph, version: str, folder: str | Path) -> list[Path]:
     """All documents of a version, in its folder."""
     at = Path(folder, version)
-    g = graph.of(version).cached()
+    g = graph.of(version).cut()
     write_turtle(g, at / ARTIFACTS["ontology"])
     write_json(context(g), at / ARTIFACTS["context"])
     write_json(rules_document(g), at / ARTIFACTS["validation_rules"])
