@@ -26,36 +26,26 @@ def changes(spark, old, new, old_props, new_props):
     return {(r.entity, r.change): r for r in diff.diff_entities(entities(spark, *old), entities(spark, *new), make(old_props), make(new_props)).collect()}
 
 
-def test_rename_by_alias(spark):
-    p = ["url", "hash", "alg"]
-    c = changes(spark, [("OldHashedUri", ["hashed-uri-map"], False)], [("NewHashedUri", ["hashed_uri.map"], False)], [prop("OldHashedUri", n) for n in p], [prop("NewHashedUri", n) for n in p])
-    assert set(c) == {("NewHashedUri", "renamed")} and c["NewHashedUri", "renamed"].old_value == "OldHashedUri"
-
-
-def test_rename_by_likeness_with_property_rename(spark):
-    c = changes(spark, [("ParametersMapV2", [], False)], [("ParametersMapV2New", [], False)], [prop("ParametersMapV2", n) for n in ("a", "b", "changed")], [prop("ParametersMapV2New", n) for n in ("a", "b", "changes")])
-    # half of the names are shared, the entity's name is almost the same
-    assert set(c) == {("ParametersMapV2", "removed"), ("ParametersMapV2New", "added")}
-    c = changes(spark, [("OldName", [], False)], [("NewName", [], False)], [prop("OldName", n) for n in "abcd"] + [prop("OldName", "changed")], [prop("NewName", n) for n in "abcd"] + [prop("NewName", "changes")])
-    assert "renamed properties: changed -> changes" in c["NewName", "renamed"].details
-
-
-def test_unlike_entities_are_not_renamed(spark):
-    c = changes(spark, [("ClaimMap", [], False)], [("RegionMap", [], False)], [prop("ClaimMap", n) for n in "abc"], [prop("RegionMap", n) for n in "xyz"])
-    assert set(c) == {("ClaimMap", "removed"), ("RegionMap", "added")}
-
-
-def test_entities_without_properties_are_alike(spark):
-    c = changes(spark, [("AlphaThing", [], False)], [("AlphaThings", [], False)], [], [])
-    assert set(c) == {("AlphaThings", "renamed")}
-
-
-def test_details_and_deprecation(spark):
-    c = changes(
-        spark, [("Foo", [], False), ("Bar", [], False), ("Same", [], True)], [("Foo", [], False), ("Bar", [], True), ("Same", [], False)],
-        [prop("Foo", "count", "string"), prop("Foo", "gone"), prop("Foo", "kept", "integer")], [prop("Foo", "counts", "integer"), prop("Foo", "kept", "string", True), prop("Bar", "x")])
-    assert set(c) == {("Foo", "modified"), ("Bar", "deprecated")}
+def test_entity_diff(spark):
+    alike = [f"n{i}" for i in range(9)]
+    old = {
+        "OldHashedUri": [prop("OldHashedUri", n) for n in ("url", "hash", "alg")], "Params": [prop("Params", n) for n in ("a", "b", "zebra")], "ClaimMap": [prop("ClaimMap", n) for n in "pqr"],
+        "OldName": [prop("OldName", n) for n in [*alike, "changed"]], "AlphaThing": [], "Bar": [], "Same": [], "Foo": [prop("Foo", "count", "string"), prop("Foo", "gone"), prop("Foo", "kept", "integer")],
+    }
+    new = {
+        "NewHashedUri": [prop("NewHashedUri", n) for n in ("url", "hash", "alg")], "ParamsNew": [prop("ParamsNew", n) for n in ("a", "b", "yak")], "RegionMap": [prop("RegionMap", n) for n in "xyw"],
+        "NewName": [prop("NewName", n) for n in [*alike, "changes"]], "AlphaThings": [], "Bar": [prop("Bar", "x")], "Same": [], "Foo": [prop("Foo", "counts", "integer"), prop("Foo", "kept", "string", True)],
+    }
+    aliases = {"OldHashedUri": ["hashed-uri-map"], "NewHashedUri": ["hashed_uri.map"]}
+    deprecated = {("old", "Same"), ("new", "Bar")}
+    rows = [[(n, aliases.get(n, []), (side, n) in deprecated) for n in names_] for side, names_ in (("old", old), ("new", new))]
+    c = changes(spark, *rows, sum(old.values(), []), sum(new.values(), []))
+    assert set(c) == {
+        ("NewHashedUri", "renamed"), ("Params", "removed"), ("ParamsNew", "added"), ("ClaimMap", "removed"), ("RegionMap", "added"), ("NewName", "renamed"), ("AlphaThings", "renamed"), ("Foo", "modified"), ("Bar", "deprecated")}
+    assert c["NewHashedUri", "renamed"].old_value == "OldHashedUri" and c["NewHashedUri", "renamed"].details == "OldHashedUri -> NewHashedUri"
+    assert c["NewName", "renamed"].details == "OldName -> NewName | renamed properties: changed -> changes"
     assert c["Foo", "modified"].details == "added properties: counts | removed properties: count, gone | modified properties: kept: type: 'integer' -> 'string'; required: False -> True"
+    assert c["RegionMap", "added"].details == "Added entity with 3 properties"
 
 
 def test_greedy_takes_each_once(spark):
