@@ -38,14 +38,17 @@ def shard_of(key: F.Column, weights: dict[int, float]) -> F.Column:
 
 
 def shard(docs: DataFrame, weights: dict[int, float] | None = None) -> DataFrame:
-    """``docs`` with ``shard`` (a column of that name is replaced), one Spark partition for every shard.
+    """``docs`` with ``shard`` (a column of that name is replaced), each shard in Spark partitions of its own.
 
     Rows with a NULL id go by the hash of their text; NULL and empty texts count alike. Repeated rows share a shard.
-    One shuffle moves every row to the partition of its shard's number, so that a write gives one file a shard.
+    One shuffle moves every row to a partition of its shard. A shard has as many as let all shards together have the
+    session's shuffle partitions, so that tasks don't grow with the data; its rows are spread over them by key.
     """
     weights = WEIGHTS if weights is None else weights
+    shards = max(weights) + 1
+    parts = -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
     placed = docs.withColumn("shard", shard_of(record_key(docs), weights))
-    return placed.repartitionById(max(weights) + 1, F.col("shard"))
+    return placed.repartitionById(shards * parts, (F.col("shard") * parts + F.pmod(F.xxhash64(record_key(docs)), F.lit(parts))).cast("int"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
