@@ -1,7 +1,7 @@
 """Operator 7, substring dedup: sliding spans of sentences, hashed and joined over the whole corpus.
 
-Every run of ``RUN`` consecutive sentences with at least ``MIN_WORDS`` words is hashed by its words. Of all places of
-a run, the first by document id and position stays; the sentences of every other place are removed.
+Every run of ``RUN`` consecutive sentences with at least ``MIN_WORDS`` words is hashed by its words; a sentence of
+``LONG`` words, as long as several, is a run of its own too. Of all places of a run, the first by document id and position stays; the sentences of every other place are removed.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from specloom.session import table
 
 RUN = 2
 MIN_WORDS = 12
+LONG = 40
 
 _SPACE, _STOP = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[9, 10, 12, 13, 32]] = True
@@ -53,7 +54,7 @@ def _row_code(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (mix(total[offsets[1:]] - total[offsets[:-1]]) >> U(33)).astype(np.int64)
 
 
-def _runs_of(run: int, min_words: int):
+def _runs_of(run: int, min_words: int, long: int):
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in chunks(as_string(batch["text"])):
@@ -64,23 +65,26 @@ def _runs_of(run: int, min_words: int):
                 at, count, starts = at[count > 0], count[count > 0], starts[count > 0]
                 row = np.searchsorted(w.offsets, starts, "right") - 1
                 n = len(at)
-                if n < run:
-                    continue
                 # order-sensitive hash of a sentence's words: words weighted by their place in it
                 place = np.arange(len(w.hash)) - np.repeat(at, count)
                 total = np.concatenate([[U(0)], np.cumsum(mix(w.hash + place.astype(U) * _STEP))])
                 sentence = mix(total[at + count] - total[at] + count.astype(U))
-                acc, size = sentence[: n - run + 1].copy(), count[: n - run + 1].copy()
+                m = max(n - run + 1, 0)
+                acc, size = sentence[:m].copy(), count[:m].copy()
                 for j in range(1, run):
-                    acc = acc * _STEP + sentence[j : n - run + 1 + j]
-                    size += count[j : n - run + 1 + j]
-                keep = np.flatnonzero((row[: n - run + 1] == row[run - 1 :]) & (size >= min_words))
+                    acc = acc * _STEP + sentence[j : m + j]
+                    size += count[j : m + j]
+                several = np.flatnonzero((row[:m] == row[n - m :]) & (size >= min_words))
+                alone = np.flatnonzero(count >= long)
+                keep = np.concatenate([several, alone])
                 if not len(keep):
                     continue
+                one = np.repeat([0, 1], [len(several), len(alone)])
+                h = np.concatenate([mix(acc[several]), mix(sentence[alone] + U(1))])
                 ordinal = np.arange(n) - np.searchsorted(row, row)
                 raw, offsets = buffers(part)
-                pos = (ordinal[keep] << 31) | _row_code(raw, offsets)[row[keep]]
-                yield pa.record_batch({"h": pa.array(mix(acc[keep]).view(np.int64)), "doc_id": batch["doc_id"].take(pa.array(first + row[keep])), "pos": pa.array(pos)})
+                pos = (ordinal[keep] << 32) | (one << 31) | _row_code(raw, offsets)[row[keep]]
+                yield pa.record_batch({"h": pa.array(h.view(np.int64)), "doc_id": batch["doc_id"].take(pa.array(first + row[keep])), "pos": pa.array(pos)})
 
     return hashes
 
@@ -104,8 +108,10 @@ def _cut(run: int):
             ends = np.append(starts[1:], len(row))
             live = np.flatnonzero(total[ends] > total[starts])
             gone = np.zeros(len(live), bool)
-            for k in range(run):
-                gone[runs_at.values.to_numpy() + k] = True
+            places = runs_at.values.to_numpy()
+            gone[places // 2] = True
+            for k in range(1, run):
+                gone[places[places % 2 == 0] // 2 + k] = True
             keep = np.ones(len(starts), bool)
             keep[live[gone]] = False
             raw = row.tobytes()
@@ -115,25 +121,25 @@ def _cut(run: int):
     return cut
 
 
-def repeated_runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """All places of runs but the first: ``doc_id``, the text's ``code`` and ``at``, the ordinals of the runs' first sentences."""
+def repeated_runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, long: int = LONG) -> DataFrame:
+    """All places of runs but the first: ``doc_id``, the text's ``code`` and ``at``, twice the ordinal of each run's first sentence, plus 1 if it is all of the run."""
     d = pick(docs, "doc_id", "text").where("text is not null")
-    places = d.mapInArrow(_runs_of(run, min_words), "h long, doc_id long, pos long")
+    places = d.mapInArrow(_runs_of(run, min_words, long), "h long, doc_id long, pos long")
     order = Window.partitionBy("h").orderBy(F.col("doc_id").asc_nulls_last(), "pos")
     later = places.withColumn("r", F.rank().over(order)).where("r > 1")
     return later.groupBy("doc_id", F.expr("pos & 2147483647").alias("code")).agg(F.sort_array(F.collect_set(F.expr("shiftright(pos, 31)"))).alias("at"))
 
 
-def cut_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
+def cut_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, long: int = LONG) -> DataFrame:
     """Documents that lose sentences: how many go and stay, and the text that is left.
 
-    Sentences without words count for nothing and stay. Texts of fewer than ``run`` sentences, NULL and empty texts
-    lose nothing. NULL ids come after all others. Equal rows of an id are one place and are cut alike, as often as
+    Sentences without words count for nothing and stay. Texts without a run, NULL and empty texts lose
+    nothing. NULL ids come after all others. Equal rows of an id are one place and are cut alike, as often as
     they are there; different texts of an id are different places. An empty table gives an empty one.
     """
     ready(docs)
     d = pick(docs, "doc_id", "text").where("text is not null")
-    later = repeated_runs(docs, run, min_words).select(F.col("doc_id").alias("id"), "code", "at")
+    later = repeated_runs(docs, run, min_words, long).select(F.col("doc_id").alias("id"), "code", "at")
     cut = d.join(later, d["doc_id"].eqNullSafe(later["id"])).select("doc_id", _cut(run)(F.col("text"), F.col("code"), F.col("at")).alias("c"))
     return cut.where("c is not null").select("doc_id", "c.n_removed", "c.n_left", "c.text")
 
@@ -148,9 +154,10 @@ WITH d AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents WHERE
 seg AS (SELECT row, doc_id, text, generate_subscripts(s, 1) AS i, unnest(s) AS s FROM
   (SELECT *, string_split(regexp_replace(text, '([.!?][ \t\n\f\r]+|\n+)', '\1' || chr(1), 'g'), chr(1)) AS s FROM d)),
 live AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY i) AS o, regexp_extract_all(lower(s), '(?:[a-z0-9_]|[^\x00-\x7F])+') AS w FROM seg WHERE regexp_matches(lower(s), '[a-z0-9_]|[^\x00-\x7F]')),
-run AS (SELECT a.row, a.doc_id, a.text, a.o, array_to_string(a.w, ' ') || chr(10) || array_to_string(b.w, ' ') AS h FROM live a JOIN live b ON a.row = b.row AND b.o = a.o + 1 WHERE len(a.w) + len(b.w) >= {MIN_WORDS}),
+run AS (SELECT a.row, a.doc_id, a.text, a.o, array_to_string(a.w, ' ') || chr(10) || array_to_string(b.w, ' ') AS h, 1 AS more FROM live a JOIN live b ON a.row = b.row AND b.o = a.o + 1 WHERE len(a.w) + len(b.w) >= {MIN_WORDS}
+  UNION ALL SELECT row, doc_id, text, o, array_to_string(w, ' '), 0 FROM live WHERE len(w) >= {LONG}),
 later AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY h ORDER BY doc_id NULLS LAST, o, text) AS r FROM run) WHERE r > 1),
-gone AS (SELECT DISTINCT row, o + k AS o FROM later, (VALUES (0), (1)) AS v(k))
+gone AS (SELECT DISTINCT row, o + k AS o FROM later, (VALUES (0), (1)) AS v(k) WHERE k <= more)
 SELECT doc_id, count(g.o) AS n_removed, count(l.o) - count(g.o) AS n_left, coalesce(string_agg(CASE WHEN g.o IS NULL THEN seg.s END, '' ORDER BY seg.i), '') AS text
 FROM seg LEFT JOIN live l USING (row, doc_id, i) LEFT JOIN gone g ON g.row = seg.row AND g.o = l.o
 WHERE seg.row IN (SELECT row FROM gone) GROUP BY seg.row, doc_id
