@@ -3,7 +3,8 @@
 A source's share of the tokens is raised to an exponent and normalised. The exponent is bisected until the
 weights reach a target entropy, or until no source must be repeated more often than a limit. A source's budget
 is its weight of all tokens drawn; it is filled by passes over the source's documents, each pass in another
-permutation of blocks and of the documents in a block, the last one cut off at the budget.
+permutation of blocks and of the documents in a block, the last one cut off at the budget. A source of n tokens has
+about sqrt(n) blocks, so that neither the order of its blocks nor the order in a block is more than sqrt(n) rows.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ ENTROPY = 0.98
 #: Most passes over any source.
 REPEATS = 2.0
 STEPS = 50
-#: Tokens of an average block; a source has as many blocks as its tokens make.
-BLOCK_TOKENS = 1 << 16
 
 #: A token here is a run of characters other than space, tab and line ends.
 TOKENS = r"[^ \t\r\n]+"
@@ -101,7 +100,7 @@ def mix(docs: DataFrame, target_entropy: float | None = ENTROPY, repeats: float
     slim = keyed.select("__mix_key", "__mix_src", F.regexp_count(text, F.lit(TOKENS)).cast("long").alias("n")).groupBy("__mix_src", "__mix_key").agg(F.sum("n").alias("n")).checkpoint()
     per = {r[0]: r[1] for r in slim.groupBy("__mix_src").agg(F.sum("n")).collect()}  # a row per source
     budget = budgets(per, target_entropy, repeats, total)
-    plan = [(s, per[s], budget[s], p, max(1, per[s] // BLOCK_TOKENS)) for s in per for p in range(max(1, math.ceil(budget[s] / per[s])) if per[s] else 1)]
+    plan = [(s, per[s], budget[s], p, max(1, math.isqrt(per[s]))) for s in per for p in range(max(1, math.ceil(budget[s] / per[s])) if per[s] else 1)]
     passes = F.broadcast(spark.createDataFrame(plan, "s string, size long, budget long, mix_pass int, blocks long"))  # sources times passes
     mixed = (
         slim.join(passes, slim["__mix_src"].eqNullSafe(passes["s"]))
@@ -152,7 +151,7 @@ bisect(i, low, high) AS (
             >= {ENTROPY} * ln((SELECT count(*) FROM per)::DOUBLE) AS up
         FROM bisect WHERE i < {STEPS})),
 weights AS (SELECT s, size, pow(share, a) / sum(pow(share, a)) OVER () AS w FROM per, (SELECT low AS a FROM bisect WHERE i = {STEPS})),
-plan AS (SELECT s, size, budget, unnest(range(greatest(1, ceil(budget / size)::BIGINT)))::INT AS mix_pass, greatest(1, size // {BLOCK_TOKENS}) AS blocks
+plan AS (SELECT s, size, budget, unnest(range(greatest(1, ceil(budget / size)::BIGINT)))::INT AS mix_pass, greatest(1, floor(sqrt(size))::BIGINT) AS blocks
   FROM (SELECT s, size, round(w * (SELECT max(size / w) FROM weights))::BIGINT AS budget FROM weights)),
 mixed AS (
   SELECT slim.*, size, budget, mix_pass, md5(concat_ws('|', '{SEED}', mix_pass, k)) AS h,
