@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from os import PathLike
 from pathlib import Path
 from typing import Any
 
@@ -54,7 +55,7 @@ def changelog(old: Graph, new: Graph) -> DataFrame:
 class Catalog:
     """Stored versions under a folder; each is read once and kept."""
 
-    def __init__(self, spark: SparkSession, folder: str | Path) -> None:
+    def __init__(self, spark: SparkSession, folder: str | PathLike) -> None:
         self.spark, self.folder, self._loaded = spark, Path(folder), {}
 
     def graph(self, version: str) -> Graph:
@@ -83,22 +84,22 @@ class Catalog:
     def entity(self, version: str, name: str) -> dict[str, Any]:
         """KeyError for an unknown one."""
         if (found := self._entity(version, name)) is None:
-            raise KeyError(f"Entity {name!r} not found in version {version!r}. Available: {self.entities(version)['entities']}")
+            raise KeyError(f"version {version!r} has no entity {name!r}, but {self.entities(version)['entities']}")
         return found
 
     def query_entity(self, version: str, name: str) -> dict[str, Any]:
         """An error document for an unknown one."""
-        return self._entity(version, name) or {"error": f"Entity {name!r} not found in version {version!r}.", "available_entities": sorted(self.entities(version)["entities"])}
+        return self._entity(version, name) or {"error": f"version {version!r} has no entity {name!r}", "available_entities": sorted(self.entities(version)["entities"])}
 
     def query_rules(self, version: str, phase: str | None = None) -> dict[str, Any]:
         """C8."""
         rows = rules_by_phase(self.graph(version), phase).orderBy("ord").collect()
-        return {"version": version, "phase": phase, "rules": [sparse("rule", r.asDict()) for r in rows]}
+        return dict(version=version, phase=phase, rules=[sparse("rule", r.asDict()) for r in rows])
 
     def search(self, version: str, query: str) -> dict[str, Any]:
         """C10."""
         rows = search(self.graph(version).entity, query).orderBy("ord").collect()
-        return {"version": version, "query": query, "count": len(rows), "results": [{"name": r.name, "description": r.description} for r in rows]}
+        return dict(version=version, query=query, count=len(rows), results=[{"name": r.name, "description": r.description} for r in rows])
 
     def diff(self, old: str, new: str, full: bool = False) -> dict[str, Any]:
         """C4: the changelog."""

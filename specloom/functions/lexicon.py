@@ -36,7 +36,7 @@ RFC2119 = Lexicon(
     ),
     phase_default="structural",
     normative=r"\b(?:shall|must|should|may)\b",
-    skip=r"^\s*(?:#|\[|include::|image::|(?:NOTE|TIP|WARNING|CAUTION|IMPORTANT):|\.{1,3}\s)",
+    skip=r"^\s*(?:image::|include::|\[|#|(?:NOTE|TIP|WARNING|CAUTION|IMPORTANT):|\.{1,3}\s)",
 )
 
 #: Words of the invented prose in the driver's ``documents`` that stand in for the normative ones.

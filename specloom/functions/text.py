@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from specloom.functions.lexicon import RFC2119, Lexicon
 
 
+#: Inline code, attributes, anchors, references, and links with their label.
+MARKUP = r"\{[^}]+\}|`([^`]+)`|\x5B\x5B[^\x5D]+\x5D\x5D|<<[^>]+>>|xref:[^\x5B]+\x5B([^\x5D]*)\x5D"
+_ABOUT = r"(?s)(?:={2,6}|#{2,6})\s*+Description\s*\n\n*(.*?)(?=\n(?:\n|={2,6}|#{2,6})|\z)"
+
+
 def found(text: Column, pattern: str) -> Column:
     """Whether the pattern is in the text, in any case."""
     return text.rlike("(?i)" + pattern)
@@ -39,25 +44,25 @@ def phase(section: Column, paragraph: Column, lexicon: Lexicon = RFC2119) -> Col
 def entity_refs(sentence: Column) -> Column:
     """P5: field-like tokens in backticks, then CamelCase words, each once, in order."""
     ticked = F.filter(
-        F.regexp_extract_all(sentence, F.lit(r"`([A-Za-z][A-Za-z0-9_.\-]*)`"), 1),
+        F.regexp_extract_all(sentence, F.lit(r"`(\p{Alpha}[\p{Alnum}_.-]*)`"), 1),
         lambda t: t.contains(".") | t.contains("_") | t.rlike("^[a-z]"),
     )
-    return F.array_distinct(F.concat(ticked, F.regexp_extract_all(sentence, F.lit(r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b"), 1)))
+    return F.array_distinct(F.concat(ticked, F.regexp_extract_all(sentence, F.lit(r"\b(\p{Upper}\p{Lower}+(?:\p{Upper}\p{Lower}+)+)\b"), 1)))
 
 
 def clean_markup(text: Column) -> Column:
     """Link labels and code stay, other references go."""
-    return strip(F.regexp_replace(text, r"xref:[^\[]+\[([^\]]*)\]|<<[^>]+>>|`([^`]+)`|\{[^}]+\}|\[\[[^\]]+\]\]", "$1$2"))
+    return strip(F.regexp_replace(text, MARKUP, "$1$2"))
 
 
 def link_labels(text: Column) -> Column:
     """Links as their labels, where there is one."""
-    return F.regexp_replace(text, r"xref:[^\[]+\[([^\]]+)\]", "$1")
+    return F.regexp_replace(text, r"xref:[^\x5B]+\x5B([^\x5D]+)\x5D", "$1")
 
 
 def sentences(paragraph: Column) -> Column:
     """Sentences, which end before a capital."""
-    return F.filter(F.transform(F.split(paragraph, r"(?<=[.!?])\s+(?=[A-Z])"), strip), lambda s: s != "")
+    return F.filter(F.transform(F.split(paragraph, r"(?<=[!.?])\s+(?=\p{Upper})"), strip), lambda s: s != "")
 
 
 def category(before: Column) -> Column:
@@ -77,8 +82,8 @@ def without_deprecation(description: Column) -> Column:
 
 def assertion_description(text: Column) -> Column:
     """The paragraph after a Description heading, else the first of over 30 characters that is no heading; NULL if none."""
-    headed = F.regexp_extract(text, r"(?s)(?:#{2,6}|={2,6})\s*Description\s*\n+(.*?)(?=\n\n|\n#{2,6}|\n={2,6}|\z)", 1)
-    has = text.rlike(r"(?s)(?:#{2,6}|={2,6})\s*Description\s*\n+(.*?)(?=\n\n|\n#{2,6}|\n={2,6}|\z)")
+    headed = F.regexp_extract(text, _ABOUT, 1)
+    has = text.rlike(_ABOUT)
     paragraphs = F.filter(F.transform(F.split(text, r"\n\n+"), strip), lambda p: (~p.rlike(r"^[=#\[]")) & (F.length(p) > 30))
     raw = F.when(has, strip(headed)).otherwise(F.when(F.size(paragraphs) > 0, paragraphs[0]))
     return F.when(raw != "", strip(F.regexp_replace(clean_markup(raw), r"\s+", " ")))

@@ -15,10 +15,10 @@ from specloom.schemas import TABLES
 from specloom.session import cut
 
 #: Types that other standards define.
-EXTERNAL = {"CoseSign1": "COSE_Sign1 structure (RFC 9052)", "CoseKey": "COSE_Key structure (RFC 9052)"}
+EXTERNAL = {name: f"{rule} structure (RFC 9052)" for name, rule in (("CoseSign1", "COSE_Sign1"), ("CoseKey", "COSE_Key"))}
 #: What readers of the sources must know; a tree's own document may replace it.
 CONVENTIONS = (
-    '{"normative_language": {"standard": "RFC 2119", "keywords": ["must", "shall", "should", "may"]}, "schema_notation": {"standard": "RFC 8610", "primary": true}, '
+    '{"normative_language": {"keywords_of": "RFC 2119", "keywords": ["must", "shall", "should", "may"]}, "schema_notation": {"standard": "RFC 8610", "primary": true}, '
     '"precedence": ["schema definitions", "JSON Schema", "prose"], "naming": {"entities": "CamelCase of the rule name", "aliases": "rule names as written"}, "rule_ids": "VAL-<phase>-<number>"}'
 )
 

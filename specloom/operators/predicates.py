@@ -15,8 +15,8 @@ SCHEMA = (
     f"cross_cutting STRUCT<description STRING, predicates ARRAY<{_PRED}>>, "
     "coverage_summary STRUCT<total_predicates BIGINT, rules_formalized BIGINT, total_v24_rules BIGINT, coverage_percent DOUBLE, format_coverage STRING>"
 )
-REQUIRED = ("spec_version", "predicate_schema_version", "format_families", "cross_cutting", "coverage_summary")
-PREDICATE_ID, RULE_ID, STRENGTHS = r"^PRED-[A-Z]+-\d{3}$", r"^VAL-[A-Z]+-\d{4}$", ("shall", "must", "should", "may")
+REQUIRED = tuple("spec_version predicate_schema_version format_families cross_cutting coverage_summary".split())
+PREDICATE_ID, RULE_ID, STRENGTHS = "^PRED-[A-Z]+-[0-9]{3}$", "^VAL-[A-Z]+-[0-9]{4}$", ("shall", "must", "should", "may")
 CROSS = "cross_cutting"
 
 

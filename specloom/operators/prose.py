@@ -81,7 +81,7 @@ def status_codes(docs: DataFrame, keys: list[str]) -> DataFrame:
     tables = pieces.select(*keys, "piece", "mark", F.posexplode("piece").alias("table_ord", "body")).where("table_ord % 2 = 1 and table_ord < size(piece) - 1")
     # the context reaches back over earlier tables, with their delimiters
     before = F.concat_ws("", F.transform(F.slice("piece", 1, F.col("table_ord")), lambda p, i: F.concat(p, F.when(i < F.col("table_ord") - 1, F.element_at("mark", i + 1)).otherwise(""))))
-    row = r"(?m)^\|`?([A-Za-z][A-Za-z0-9._\-]*)`?\s*\|\s*(.+?)\s*\|\s*(.+?)\s*$"
+    row = r"(?m)^[|]`?(\p{Alpha}[\p{Alnum}._-]*)`?\s*[|]\s*(.+?)\s*[|]\s*(.+?)\s*$"
     cells = F.arrays_zip(*[F.regexp_extract_all("body", F.lit(row), k).alias(n) for k, n in ((1, "code"), (2, "meaning"), (3, "url_usage"))])
     found = tables.select(*keys, "table_ord", text.category(before).alias("category"), F.posexplode(cells).alias("row_ord", "c"))
     return found.where(~F.lower("c.code").isin("value", "code")).select(

@@ -10,10 +10,16 @@ from specloom.schemas import CATEGORIES, PHASES, SEVERITIES
 
 TRIPLE = ("s", "p", "o", "o_kind", "o_datatype", "o_lang")
 BASE = "https://example.org/spec/"
-PREFIXES = {
-    "spec": BASE, "owl": "http://www.w3.org/2002/07/owl#", "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#",
-    "xsd": "http://www.w3.org/2001/XMLSchema#", "dc": "http://purl.org/dc/terms/", "schema": "https://schema.org/", "skos": "http://www.w3.org/2004/02/skos/core#",
-}
+_KNOWN = """
+owl {W3}/2002/07/owl#
+rdfs {W3}/2000/01/rdf-schema#
+rdf {W3}/1999/02/22-rdf-syntax-ns#
+xsd {W3}/2001/XMLSchema#
+dc http://purl.org/dc/terms/
+schema https://schema.org/
+skos {W3}/2004/02/skos/core#
+"""
+PREFIXES = {"spec": BASE} | dict(line.split() for line in _KNOWN.replace("{W3}", "http://www.w3.org").split("\n") if line)
 
 
 def _iri(local: Column) -> Column:

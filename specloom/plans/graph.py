@@ -115,7 +115,7 @@ def enum_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_type", "user_id").distinct()
     line = F.concat(F.lit("$"), "event_type", F.lit("-kind /= "), F.when(F.col("user_id") % 9 == 0, "tstr").otherwise(F.concat(F.lit('"u'), F.col("user_id").cast("string"), F.lit('"'))), F.lit(" ; note"))
     text = e.groupBy("event_type").agg(F.array_join(F.sort_array(F.collect_list(F.struct("user_id", line.alias("l"))))["l"], "\n").alias("text"))
-    plugs = text.select(F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(r"(?m)^\$([A-Za-z0-9_-]+)\s*/=\s*(.+?)(?:\s*;.*)?$"), 1).alias("n"), F.regexp_extract_all("text", F.lit(r"(?m)^\$([A-Za-z0-9_-]+)\s*/=\s*(.+?)(?:\s*;.*)?$"), 2).alias("v"))).alias("p"))
+    plugs = text.select(F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(r"(?m)^\$([\w-]+)\s*/=[ \t]*(.+?)(?:\s*;.*|)$"), 1).alias("n"), F.regexp_extract_all("text", F.lit(r"(?m)^\$([\w-]+)\s*/=[ \t]*(.+?)(?:\s*;.*|)$"), 2).alias("v"))).alias("p"))
     literal = F.regexp_extract("p.v", '^"([^"]+)"$', 1)
     return plugs.groupBy(names.camel(F.col("p.n")).alias("name")).agg(F.sort_array(F.collect_list(F.nullif(literal, F.lit("")))).alias("v"), F.bool_or(literal == "").alias("extensible")).select("name", F.array_join("v", ",").alias("values"), "extensible")
 

@@ -38,7 +38,7 @@ sent AS (SELECT doc_id, para_ord, para, unnest(s) AS sentence, generate_subscrip
   SELECT *, list_filter(list_transform(string_split(regexp_replace(para, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x, E' \t\n\r\f')), lambda x: x <> '') AS s FROM kept)),
 rule AS (SELECT doc_id, (para_ord * 100000 + sent_ord)::BIGINT AS ord, sentence, para, {_case("' ' || para", PROSE.phases, PROSE.phase_default)} AS phase,
   {_case("sentence", PROSE.severities, PROSE.severity_default)} AS severity,
-  trim(regexp_replace(sentence, 'xref:[^\[]+\[([^\]]*)\]|<<[^>]+>>|`([^`]+)`|\{{[^}}]+\}}|\[\[[^\]]+\]\]', '\1\2', 'g'), E' \t\n\r\f') AS clean
+  trim(regexp_replace(sentence, '`([^`]+)`|\{{[^}}]+\}}|\x5B\x5B[^\x5D]+\x5D\x5D|<<[^>]+>>|xref:[^\x5B]+\x5B([^\x5D]*)\x5D', '\1\2', 'g'), E' \t\n\r\f') AS clean
   FROM sent WHERE regexp_matches(sentence, '{_boundaries(PROSE.normative)}', 'i')),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, phase ORDER BY ord) AS n FROM rule WHERE length(clean) >= 20)
 """
@@ -160,9 +160,9 @@ ORACLES = {
       ORDER BY CASE severity WHEN 'must' THEN 0 WHEN 'should' THEN 4 ELSE 6 END, doc_id * 10000000000 + ord)[1:50], ',') AS first FROM numbered GROUP BY phase""",
     "phase_infer": f"SELECT role, {_case('role || chr(32) || text', PROSE.phases, PROSE.phase_default)} AS phase, count(*) AS n FROM conversations GROUP BY ALL",
     "entity_refs": rf"""SELECT p_partkey, array_to_string(list_concat(list_filter(t, lambda x: x[1:1] = lower(x[1:1]) OR contains(x, '.') OR contains(x, '_')), list_distinct(c)), ',') AS refs FROM (
-      SELECT p_partkey, regexp_extract_all(said, '`([A-Za-z][A-Za-z0-9_.\-]*)`', 1) AS t, regexp_extract_all(said, '\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b', 1) AS c FROM (SELECT p_partkey, {_SAID} AS said FROM part))""",
-    "clean_markup": rf"""SELECT p_partkey, trim(regexp_replace(raw, 'xref:[^\[]+\[([^\]]*)\]|<<[^>]+>>|`([^`]+)`|\{{[^}}]+\}}|\[\[[^\]]+\]\]', '\1\2', 'g')) AS clean,
-      regexp_replace(raw, 'xref:[^\[]+\[([^\]]+)\]', '\1', 'g') AS labels, trim(regexp_replace(raw, '\(DEPRECATED\)', '', 'gi')) AS current FROM (SELECT p_partkey, {_RAW} AS raw FROM part)""",
+      SELECT p_partkey, regexp_extract_all(said, '`([[:alpha:]][[:alnum:]_.-]*)`', 1) AS t, regexp_extract_all(said, '\b([[:upper:]][[:lower:]]+(?:[[:upper:]][[:lower:]]+)+)\b', 1) AS c FROM (SELECT p_partkey, {_SAID} AS said FROM part))""",
+    "clean_markup": rf"""SELECT p_partkey, trim(regexp_replace(raw, '`([^`]+)`|\{{[^}}]+\}}|\x5B\x5B[^\x5D]+\x5D\x5D|<<[^>]+>>|xref:[^\x5B]+\x5B([^\x5D]*)\x5D', '\1\2', 'g')) AS clean,
+      regexp_replace(raw, 'xref:[^\x5B]+\x5B([^\x5D]+)\x5D', '\1', 'g') AS labels, trim(regexp_replace(raw, '\(DEPRECATED\)', '', 'gi')) AS current FROM (SELECT p_partkey, {_RAW} AS raw FROM part)""",
     "sections_rules": _SECTIONS,
     "status_tables": _TABLES,
     "section_asof": """SELECT e.event_id, e.user_id, (SELECT max(x.event_id) FROM events x WHERE x.event_type = 'signup' AND x.user_id = e.user_id AND x.ts = m.ts) AS signup_id

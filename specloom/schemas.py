@@ -8,7 +8,7 @@ RELATIONSHIP_TYPES = ("has_one", "has_many", "belongs_to", "references", "extend
 SEVERITIES = ("must", "shall", "must_not", "shall_not", "should", "should_not", "may")  # in display order
 PHASES = ("structural", "cryptographic", "trust", "semantic", "assertion", "ingredient", "timestamp", "signature", "content")
 CHANGES = ("added", "removed", "modified", "deprecated", "renamed")
-CATEGORIES = ("success", "failure", "informational", "unknown")
+CATEGORIES = tuple("success failure informational unknown".split())
 
 #: Rows carry ``version`` and an explicit ``ord``; nothing relies on the order of a DataFrame.
 TABLES = {

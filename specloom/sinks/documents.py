@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from os import PathLike
 from pathlib import Path
 from typing import Any
 
@@ -33,7 +34,7 @@ def sparse(kind: str, row: dict[str, Any]) -> dict[str, Any]:
     return {k: row[k] for k in always} | {k: row[k] for k in optional if row.get(k)}
 
 
-def write_json(document: Any, path: str | Path) -> None:
+def write_json(document: Any, path: str | PathLike) -> None:
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(json.dumps(document, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
 
@@ -117,7 +118,7 @@ def write_turtle(graph: Graph, path: str | Path) -> None:
     """K2: one Turtle file of one version."""
     head = "".join(f"@prefix {k}: <{v}> .\n" for k, v in rdf.PREFIXES.items())
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with Path(path).open("w", encoding="utf-8") as f:
+    with Path(path).open(mode="w", encoding="utf-8") as f:
         f.write(head + "\n")
         for r in turtle_lines(triples(graph)).orderBy("subject").toLocalIterator():
             f.write(r.line + "\n\n")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from specloom.operators import integrate
 
 PRELUDE = {
-    **dict.fromkeys(("tstr", "text", "jumbf-uri-type", "format-string", "semver-string"), "string"), **dict.fromkeys(("bstr", "bytes"), "bytes"),
+    **dict.fromkeys(("tstr", "text", "format-string", "jumbf-uri-type", "semver-string"), "string"), **dict.fromkeys(("bstr", "bytes"), "bytes"),
     **dict.fromkeys(("uint", "nint", "int", "integer", "unsigned"), "integer"), **dict.fromkeys(("float", "float16", "float32", "float64", "float16-32", "float32-64"), "float"),
     **dict.fromkeys(("bool", "true", "false"), "boolean"), **dict.fromkeys(("tdate", "time"), "datetime"), "uri": "uri", **dict.fromkeys(("any", "nil", "null", "undefined"), "any"),
 }
@@ -264,17 +264,17 @@ def constraints(node: Node) -> tuple[str, int | None]:
 
 def comments(text: str, compat: bool = True) -> dict[str, str]:
     """Comment of every field. With ``compat`` a field without one takes the next comment of the file; else only its own line's."""
-    index: dict[str, str] = {}
-    for m in re.finditer(r'"([^"]+)"\s*[^;]*;\s*([^\n]+)' if compat else r'"([^"\n]+)"[^;\n]*;[ \t]*([^\n]+)', text):
+    said_of: dict[str, str] = {}
+    for m in re.finditer(r'"([^"]+)"[^;]*;\s*(.+)' if compat else r'"([^"\n]+)"[^;\n]*;[ \t]*([^\n]+)', text):
         key, said = m[1], m[2].strip()
         if key[0] not in "^\\" and said:
-            index.setdefault(key, said)
-    return index
+            said_of.setdefault(key, said)
+    return said_of
 
 
 def leading_comment(text: str, name: str) -> str:
     """Comment lines right before a rule."""
-    m = re.search(rf"((?:^[^\S\n]*;[^\n]*\n)+)\s*{re.escape(name)}\s*=", text, re.M)
+    m = re.search(rf"((?:^[^\S\n]*;.*\n)+)\s*{re.escape(name)}\s*=", text, re.M)
     lines = (line.strip().lstrip(";").strip() for line in m[1].splitlines()) if m else ()
     return " ".join(line for line in lines if line)
 
@@ -282,7 +282,7 @@ def leading_comment(text: str, name: str) -> str:
 def enums(text: str) -> list[tuple[str, list[str], bool]]:
     """A4: enumerations of the ``$name /= value`` lines, extensible if a value isn't a literal."""
     found: dict[str, tuple[list[str], list[bool]]] = {}
-    for m in re.finditer(r"^\$([\w-]+)\s*/=\s*([^\n]+?)(?:\s*;.*)?$", text, re.M | re.A):
+    for m in re.finditer(r"^\$([\w-]+)\s*/=\s*([^\n]+?)(?:\s*;.*|)$", text, re.M | re.A):
         values, loose = found.setdefault(camel(m[1]), ([], []))
         literal = re.fullmatch(r'"([^"]+)"', m[2].strip().rstrip(","))
         values.append(literal[1]) if literal else loose.append(True)
@@ -302,7 +302,7 @@ def parse(text: str, source: str, compat: bool = True) -> Iterator[dict]:
         if node.kind != "map":
             continue
         entity, about = camel(rule.lstrip("$~")), leading_comment(text, rule)
-        yield {"kind": "entity", "ord": i, "name": entity, "alias": rule, "description": about.replace("(DEPRECATED)", "").strip(), "deprecated": "DEPRECATED" in about, "source": source}
+        yield {"kind": "entity", "ord": i, "name": entity, "alias": rule, "description": "".join(about.split("(DEPRECATED)")).strip(), "deprecated": "DEPRECATED" in about, "source": source}
         for pos, e in enumerate(e for choice in node.parts for e in choice):
             row = {"ord": i, "pos": pos, "entity": entity, "source": source}
             if e.key is None:
@@ -311,7 +311,7 @@ def parse(text: str, source: str, compat: bool = True) -> Iterator[dict]:
                 continue
             if e.key.kind == "name":
                 key = e.key.value
-                if key in ("tstr", "text", "any"):  # catches all other keys
+                if key in {"any", "tstr", "text"}:  # catches all other keys
                     continue
             elif e.key.kind == "value" and e.key.value[0] == "text":
                 key = e.key.value[1]
@@ -321,7 +321,7 @@ def parse(text: str, source: str, compat: bool = True) -> Iterator[dict]:
             required, many = cardinality(e)
             pattern, least = constraints(e.type)
             said = index.get(key, "")
-            clean = re.sub(r"\(DEPRECATED\)", "", said, flags=re.I).strip()
+            clean = re.sub(r"(?i)[(]deprecated[)]", "", said).strip()
             yield {
                 **row, "kind": "property", "name": key, "type": kind, "description": clean, "required": required, "cardinality": many, "reference_target": ref, "array_item_type": item,
                 "pattern": pattern, "min_length": least, "deprecated": "(deprecated)" in said.lower(),

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 class Version(NamedTuple):
     version: str
-    date: str = ""
-    commit_hash: str = ""
-    tag: str = ""
+    date: str
+    commit_hash: str
+    tag: str
 
 
 _DATES = {
@@ -35,7 +35,7 @@ def get_version(version: str) -> Version:
     for v in VERSIONS:
         if v.version == version:
             return v
-    raise KeyError(f"Unknown spec version '{version}'. Known versions: {', '.join(v.version for v in VERSIONS)}")
+    raise KeyError(f"{version!r} is none of the versions {', '.join(v.version for v in VERSIONS)}")
 
 
 def version_table(spark: SparkSession) -> DataFrame:
@@ -43,15 +43,19 @@ def version_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*v, i) for i, v in enumerate(VERSIONS)], "version string, date string, commit_hash string, tag string, ord int")
 
 
+def _git(repo: str | Path, *arguments: str) -> str:
+    return subprocess.run(["git", "-C", str(repo), *arguments], check=True, capture_output=True, encoding="utf-8").stdout.strip()
+
+
 def checkout(repo: str | Path, version: str) -> None:
     """Check a source tree out at a version's tag; ValueError for an unknown one."""
     try:
         tag = get_version(version).tag
     except KeyError as e:
         raise ValueError(e.args[0]) from None
-    subprocess.run(["git", "checkout", tag], cwd=repo, check=True, capture_output=True, text=True)
+    _git(repo, "checkout", tag)
 
 
 def current_version(repo: str | Path) -> str:
     """Tag that a source tree is at."""
-    return subprocess.run(["git", "describe", "--tags", "--exact-match"], cwd=repo, check=True, capture_output=True, text=True).stdout.strip()
+    return _git(repo, *"describe --tags --exact-match".split())

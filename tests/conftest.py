@@ -42,8 +42,8 @@ $mode /= "a"
 """,
     "docs/modules/specs/partials/schemas/cddl/c.cddl": "broken-map = { \"a\" : \n$late /= \"z\"\n",
     "docs/modules/crJSON/partials/crJSON.schema.json": """{"type": "object", "title": "The Doc!", "description": "root", "required": ["items"],
- "properties": {"items": {"type": "array", "items": {"$ref": "#/definitions/Locator"}, "description": "all"}, "when": {"type": "string", "format": "date-time"}},
- "definitions": {"hasheduriMap": {"type": "object", "description": "A hashed link", "properties": {"url": {"type": "string", "description": "where"}}},
+ "properties": {"items": {"items": {"$ref": "#/definitions/Locator"}, "description": "all", "type": "array"}, "when": {"type": "string", "format": "date-time"}},
+ "definitions": {"hasheduriMap": {"description": "A hashed link", "type": "object", "properties": {"url": {"description": "where", "type": "string"}}},
   "Locator": {"oneOf": [{"$ref": "#/definitions/hasheduriMap"}, {"$ref": "#/definitions/Plain"}]}, "Plain": {"type": "string"},
   "Kinds": {"type": "object", "required": ["e"], "properties": {"e": {"enum": ["x", 1]}, "u": {"anyOf": [{"type": "string"}]}, "n": {"type": "number", "pattern": "^1$"}, "l": {"type": ["a", "b"]}}}}}""",
     "docs/modules/specs/partials/Validation/Validation.adoc": """== Title

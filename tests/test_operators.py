@@ -64,7 +64,7 @@ def test_enum_diff(spark):
 def test_similarity_is_the_matchers(spark):
     pairs = [("changed", "changes"), ("OldName", "NewName"), ("", ""), ("Über", "uber"), ("a" * 250, "ab" * 130)]
     got = spark.createDataFrame(pairs, "a string, b string").select(names.name_similarity(F.col("a"), F.col("b")).alias("r")).collect()
-    assert [r.r for r in got] == [SequenceMatcher(None, a.lower(), b.lower()).ratio() for a, b in pairs]
+    assert [r.r for r in got] == [SequenceMatcher(a=a.lower(), b=b.lower()).ratio() for a, b in pairs]
 
 
 def test_jaccard(spark):
