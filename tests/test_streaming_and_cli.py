@@ -25,7 +25,7 @@ def test_arrivals(spark, tree, tmp_path):
 def test_list_versions(capsys):
     assert cli.main(["list-versions"]) == 0
     lines = capsys.readouterr().out.splitlines()
-    assert lines[0].split() == ["Version", "Date"] and lines[2].split() == ["2.4", "2026-04-01"] and len(lines) == 14
+    assert lines[0] == "VersionDate" and lines[2].split() == ["2.4", "2026-04-01"] and len(lines) == 14
 
 
 def test_bad_arguments(tmp_path):
