@@ -10,6 +10,8 @@ from specloom.session import prepare
 
 #: Rows or keys that may be broadcast or held by every Python worker; beyond it, a shuffle or slices are used.
 BROADCAST_ROWS = 4_000_000
+#: Bytes of text that go to a Python worker at once.
+BATCH_BYTES = 8 << 20
 
 
 def ready(df: DataFrame) -> SparkSession:
@@ -26,6 +28,9 @@ def ready(df: DataFrame) -> SparkSession:
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; a missing one is NULL. Columns of other names can't clash later."""
+    batches = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(batches) == "67108864b":  # the default
+        df.sparkSession.conf.set(batches, f"{BATCH_BYTES}b")
     kinds = {"doc_id": "bigint", "quality": "int", "n_chars": "bigint", "item_id": "bigint", "page_id": "bigint"}
     have = set(df.columns)
     return df.select(*[(F.col(f"`{n}`") if n in have else F.lit(None)).cast(kinds.get(n, "string")).alias(n) for n in names])
