@@ -78,11 +78,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 50
     return w
 
 
+def _own_lines(good: list[bytes], bad: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """Texts without the lines that several of them have: passages that many documents share say nothing of quality."""
+    seen: dict[bytes, int] = {}
+    for text in (*good, *bad):
+        for line in set(text.split(b"\n")):
+            seen[line] = seen.get(line, 0) + 1
+    own = [[b"\n".join(line for line in text.split(b"\n") if seen[line] == 1) for text in x] for x in (good, bad)]
+    return tuple([t for t in x if t] or y for x, y in zip(own, (good, bad)))
+
+
 def train(good: list[bytes], bad: list[bytes]) -> Model | None:
-    """Dictionaries from the even rows, calibration on the odd ones. None if a class has no text."""
+    """Dictionaries from the even rows' own lines, calibration on the odd rows. None if a class has no text."""
     if not good or not bad:
         return None
-    dg, db = (_dictionary(x[::2]) for x in (good, bad))
+    dg, db = map(_dictionary, _own_lines(good[::2], bad[::2]))
     xs = [features(sizes(x[1::2] or x, dg, db)) for x in (good, bad)]
     x = np.vstack(xs)
     centre, scale = x.mean(0), x.std(0) + 1e-9
