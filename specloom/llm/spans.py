@@ -1,7 +1,8 @@
 """Operator 7, substring dedup: sliding spans of sentences, hashed and joined over the whole corpus.
 
 Every run of ``RUN`` consecutive sentences with at least ``MIN_WORDS`` words is hashed by its words; a sentence of
-``LONG`` words, as long as several, is a run of its own too. Of all places of a run, the first by document id and position stays; the sentences of every other place are removed.
+``LONG`` words, as long as several, is a run of its own too. With ``extend``, a run with too few words takes in the
+next sentences until it has them, so that passages of short sentences or lines are found too. Of all places of a run, the first by document id and position stays; the sentences of every other place are removed.
 """
 
 from __future__ import annotations
@@ -54,7 +55,18 @@ def _row_code(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (mix(total[offsets[1:]] - total[offsets[:-1]]) >> U(33)).astype(np.int64)
 
 
-def _runs_of(run: int, min_words: int, long: int):
+def _lengths(count: np.ndarray, run: int, min_words: int, extend: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sentences and words of the run that begins at every sentence, from the sentences' words; beyond the last one, no words."""
+    n = len(count)
+    total = np.concatenate([[0], np.cumsum(count)])
+    many = np.full(n, run)
+    if extend:
+        many = np.maximum(many, np.searchsorted(total, total[:-1] + min_words) - np.arange(n))
+    end = np.arange(n) + many
+    return many, np.where(end <= n, total[np.minimum(end, n)] - total[:-1], 0)
+
+
+def _runs_of(run: int, min_words: int, long: int, extend: bool):
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in chunks(as_string(batch["text"])):
@@ -69,18 +81,18 @@ def _runs_of(run: int, min_words: int, long: int):
                 place = np.arange(len(w.hash)) - np.repeat(at, count)
                 total = np.concatenate([[U(0)], np.cumsum(mix(w.hash + place.astype(U) * _STEP))])
                 sentence = mix(total[at + count] - total[at] + count.astype(U))
-                m = max(n - run + 1, 0)
-                acc, size = sentence[:m].copy(), count[:m].copy()
-                for j in range(1, run):
-                    acc = acc * _STEP + sentence[j : m + j]
-                    size += count[j : m + j]
-                several = np.flatnonzero((row[:m] == row[n - m :]) & (size >= min_words))
+                many, size = _lengths(count, run, min_words, extend)
+                several = np.flatnonzero((size >= max(min_words, 1)) & (row == row[np.minimum(np.arange(n) + many, n) - 1]))
+                acc = sentence[several]
+                for j in range(1, int(many[several].max(initial=1))):
+                    on = np.flatnonzero(many[several] > j)
+                    acc[on] = acc[on] * _STEP + sentence[several[on] + j]
                 alone = np.flatnonzero(count >= long)
                 keep = np.concatenate([several, alone])
                 if not len(keep):
                     continue
                 one = np.repeat([0, 1], [len(several), len(alone)])
-                h = np.concatenate([mix(acc[several]), mix(sentence[alone] + U(1))])
+                h = np.concatenate([mix(acc), mix(sentence[alone] + U(1))])
                 ordinal = np.arange(n) - np.searchsorted(row, row)
                 raw, offsets = buffers(part)
                 pos = (ordinal[keep] << 32) | (one << 31) | _row_code(raw, offsets)[row[keep]]
@@ -89,7 +101,7 @@ def _runs_of(run: int, min_words: int, long: int):
     return hashes
 
 
-def _cut(run: int):
+def _cut(run: int, min_words: int, extend: bool):
     kind = pa.struct([("n_removed", pa.int64()), ("n_left", pa.int64()), ("text", pa.string())])
 
     @arrow_udf("struct<n_removed bigint, n_left bigint, text string>")
@@ -104,14 +116,17 @@ def _cut(run: int):
                 out.append(None)
                 continue
             starts = segments(row, own)
-            total = np.concatenate([[0], np.cumsum(_ANY_WORD[row])])
+            begin, _ = runs(_ANY_WORD[row], own)
             ends = np.append(starts[1:], len(row))
-            live = np.flatnonzero(total[ends] > total[starts])
+            count = np.searchsorted(begin, ends) - np.searchsorted(begin, starts)
+            live = np.flatnonzero(count)
             gone = np.zeros(len(live), bool)
             places = runs_at.values.to_numpy()
             gone[places // 2] = True
-            for k in range(1, run):
-                gone[places[places % 2 == 0] // 2 + k] = True
+            several = places[places % 2 == 0] // 2
+            many = _lengths(count[live], run, min_words, extend)[0][several]
+            for k in range(1, int(many.max(initial=1))):
+                gone[several[many > k] + k] = True
             keep = np.ones(len(starts), bool)
             keep[live[gone]] = False
             raw = row.tobytes()
@@ -121,16 +136,16 @@ def _cut(run: int):
     return cut
 
 
-def repeated_runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, long: int = LONG) -> DataFrame:
+def repeated_runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, long: int = LONG, extend: bool = False) -> DataFrame:
     """All places of runs but the first: ``doc_id``, the text's ``code`` and ``at``, twice the ordinal of each run's first sentence, plus 1 if it is all of the run."""
     d = pick(docs, "doc_id", "text").where("text is not null")
-    places = d.mapInArrow(_runs_of(run, min_words, long), "h long, doc_id long, pos long")
+    places = d.mapInArrow(_runs_of(run, min_words, long, extend), "h long, doc_id long, pos long")
     order = Window.partitionBy("h").orderBy(F.col("doc_id").asc_nulls_last(), "pos")
     later = places.withColumn("r", F.rank().over(order)).where("r > 1")
     return later.groupBy("doc_id", F.expr("pos & 2147483647").alias("code")).agg(F.sort_array(F.collect_set(F.expr("shiftright(pos, 31)"))).alias("at"))
 
 
-def cut_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, long: int = LONG) -> DataFrame:
+def cut_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, long: int = LONG, extend: bool = False) -> DataFrame:
     """Documents that lose sentences: how many go and stay, and the text that is left.
 
     Sentences without words count for nothing and stay. Texts without a run, NULL and empty texts lose
@@ -139,8 +154,8 @@ def cut_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, lon
     """
     ready(docs)
     d = pick(docs, "doc_id", "text").where("text is not null")
-    later = repeated_runs(docs, run, min_words, long).select(F.col("doc_id").alias("id"), "code", "at")
-    cut = d.join(later, d["doc_id"].eqNullSafe(later["id"])).select("doc_id", _cut(run)(F.col("text"), F.col("code"), F.col("at")).alias("c"))
+    later = repeated_runs(docs, run, min_words, long, extend).select(F.col("doc_id").alias("id"), "code", "at")
+    cut = d.join(later, d["doc_id"].eqNullSafe(later["id"])).select("doc_id", _cut(run, min_words, extend)(F.col("text"), F.col("code"), F.col("at")).alias("c"))
     return cut.where("c is not null").select("doc_id", "c.n_removed", "c.n_left", "c.text")
 
 
@@ -149,6 +164,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_extended_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like ``op7_substring_dedup``, but runs of short sentences are extended, not passed over."""
+    return cut_repeats(table(spark, sf_dir, "documents"), extend=True)
+
+
 _SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents WHERE text IS NOT NULL),
 seg AS (SELECT row, doc_id, text, generate_subscripts(s, 1) AS i, unnest(s) AS s FROM
@@ -163,5 +183,18 @@ FROM seg LEFT JOIN live l USING (row, doc_id, i) LEFT JOIN gone g ON g.row = seg
 WHERE seg.row IN (SELECT row FROM gone) GROUP BY seg.row, doc_id
 """
 
-QUERIES = {"op7_substring_dedup": op7_substring_dedup}
-ORACLES = {"op7_substring_dedup": _SQL}
+_ROWS = "run AS (SELECT a.row"
+_LATER = "later AS (SELECT *"
+#: The same with runs extended: every start's shortest run of two sentences or more that has the words.
+_EXTENDED_SQL = (
+    _SQL[: _SQL.index(_ROWS)]
+    + rf"""grown AS (SELECT a.row, a.doc_id, a.text, a.o, b.o - a.o AS more, sum(len(b.w)) OVER g AS words, string_agg(array_to_string(b.w, ' '), chr(10)) OVER g AS h
+  FROM live a JOIN live b ON a.row = b.row AND b.o BETWEEN a.o AND a.o + {max(MIN_WORDS, 2) - 1} WINDOW g AS (PARTITION BY a.row, a.o ORDER BY b.o)),
+run AS (SELECT row, doc_id, text, o, arg_min(h, more) AS h, min(more) AS more FROM grown WHERE more >= {RUN - 1} AND words >= {MIN_WORDS} GROUP BY row, doc_id, text, o
+  UNION ALL SELECT row, doc_id, text, o, array_to_string(w, ' '), 0 FROM live WHERE len(w) >= {LONG}),
+"""
+    + _SQL[_SQL.index(_LATER) :].replace("(VALUES (0), (1)) AS v(k)", f"range({max(MIN_WORDS, 2)}) AS v(k)")
+)
+
+QUERIES = {"op7_substring_dedup": op7_substring_dedup, "op7_extended_dedup": op7_extended_dedup}
+ORACLES = {"op7_substring_dedup": _SQL, "op7_extended_dedup": _EXTENDED_SQL}

@@ -57,6 +57,16 @@ def test_cut_of_odd_tables(make):
     assert [(x.doc_id, x.n_removed, x.n_left, x.text) for x in out] == [(2, 2, 0, "")]
 
 
+def test_runs_of_short_sentences_are_extended(make):
+    verse = "Lo! The sea. A gull. Cold rain! Old nets. No boat. A bell. Who calls? Far off."
+    tail = " A sentence of the document's own with more than twelve words closes each of them off here, number "
+    docs = [(1, verse + tail + "one."), (2, "Another one begins.\n" + verse + tail + "two."), (3, "Lo! The sea. A gull."), (4, "Stop!! " * 30), (5, "Lo! The sea. A gull. Cold rain! Old nets.")]
+    assert spans.cut_repeats(make(docs)).count() == 0  # two sentences never have the words
+    got = {x.doc_id: (x.n_removed, x.text) for x in spans.cut_repeats(make(docs), extend=True).collect()}
+    # a run of fewer than twelve words in all (3, 5) is no passage; one word over and over is left once
+    assert got == {2: (9, "Another one begins.\n" + (tail + "two.")[1:]), 4: (29, "Stop!! ")}
+
+
 # 10
 def brute_matches(scanner, tokens, base=0):
     out = set()
