@@ -8,6 +8,7 @@ template that follow each other in file and template are chained into spans, kep
 from __future__ import annotations
 
 import bisect
+import pkgutil
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,7 +22,7 @@ from specloom.llm.common import pick
 from specloom.llm.kernel import Lookup, as_string, chunks, words
 from specloom.session import table
 
-#: Tokens of a match that counts as long.
+#: Tokens of a match that counts as long; of a template of fewer, all.
 MIN_MATCH = 4
 #: Tokens between chained matches, in the file and in the template, at most.
 MAX_GAP = 12
@@ -34,6 +35,42 @@ _WARRANTY = (
     "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
     "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 )
+_BSD_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED "
+    "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+    "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission. "
+)
+
+
+def _gnu(name: str, versions: str) -> str:
+    """The notice of a GNU licence for the files of a program."""
+    what = "library" if "Lesser" in name else "program"
+    return (
+        f"This {what} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software "
+        f"Foundation, either {versions} of the License, or (at your option) any later version. This {what} is distributed in the hope that it will be "
+        f"useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} "
+        "for more details."
+    )
+
+
+def _whole(name: str) -> str:
+    """The licence's own text, as its steward publishes it."""
+    return pkgutil.get_data("specloom.llm", f"license_texts/{name}.txt").decode()
+
+
 #: Public licence notices by licence; every text is a template of its own.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
@@ -42,6 +79,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
         "distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
         "See the License for the specific language governing permissions and limitations under the License.",
+        _whole("Apache-2.0"),
     ),
     "MIT": (
         "Released under the MIT License.",
@@ -58,19 +96,37 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that "
         "it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
         "GNU General Public License for more details.",
+        _whole("GPL-3.0"),
+    ),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        _gnu("GNU General Public License", "version 2"),
+        _whole("GPL-2.0"),
+    ),
+    "LGPL-2.1": (_gnu("GNU Lesser General Public License", "version 2.1"), _whole("LGPL-2.1")),
+    "LGPL-3.0": (_gnu("GNU Lesser General Public License", "version 3"), _whole("LGPL-3.0")),
+    "AGPL-3.0": (_gnu("GNU Affero General Public License", "version 3"),),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at http://mozilla.org/MPL/2.0/.",
+        _whole("MPL-2.0"),
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        "copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH "
+        "REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+        "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ),
     "CC-BY-NC-4.0": (
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ),
     "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.",),
-    "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in "
-        "binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
-        "materials provided with the distribution.",
-    ),
+    "BSD-2-Clause": (_BSD + _BSD_WARRANTY,),
+    "BSD-3-Clause": (_BSD + _BSD_NAMES + _BSD_WARRANTY,),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "All-Rights-Reserved": ("All rights reserved.",),
 }
 
 
@@ -159,18 +215,34 @@ class Scanner:
         self.sequences = [np.searchsorted(self.lookup.keys, h).tolist() for h in hashed]
         self.automaton = Automaton(self.sequences)
         self.min_match, self.max_gap = min_match, max_gap
+        self.least = [min(min_match, n) for n in self.size]
+        self.shortest = min(self.least)
+        # a match is no longer than its state, so that others' ends are never asked for
+        self.automaton.ends = [[(t, e) for t, e in ends if n >= self.least[t]] for n, ends in zip(self.automaton.length, self.automaton.ends)]
+        #: by state, templates that are a shorter end of its runs as a whole
+        self.inner: list[list[int]] = []
+        for state, ends in enumerate(self.automaton.ends):
+            own, whole, p = set(ends), set(), self.automaton.link[state]
+            while p > 0:
+                whole |= {t for t, e in self.automaton.ends[p] if e + 1 == self.size[t] <= self.automaton.length[p] and (t, e) not in own}
+                p = self.automaton.link[p]
+            self.inner.append(sorted(whole))
 
     def matches(self, tokens: list[int], base: int = 0) -> list[tuple[int, int, int, int]]:
-        """Long matches that can't be made longer to the right: template, its first token, the file's first, length."""
+        """Long matches that can't be made longer to the right, and whole templates inside of them: template, its first
+        token, the file's first, length."""
         at = list(self.automaton.statistics(tokens))
         out = []
         for i, (state, held) in enumerate(at):
-            if held >= self.min_match and not (i + 1 < len(at) and at[i + 1][1] == held + 1):
-                out += [(t, e - held + 1, base + i - held + 1, held) for t, e in self.automaton.ends[state]]
-            elif held >= self.min_match:
+            if held < self.shortest:
+                continue
+            ends = [(t, e) for t, e in self.automaton.ends[state] if held >= self.least[t]]
+            if i + 1 < len(at) and at[i + 1][1] == held + 1:
                 # templates that the longer match leaves behind end here
-                stay = {(t, e + 1) for t, e in self.automaton.ends[at[i + 1][0]]}
-                out += [(t, e - held + 1, base + i - held + 1, held) for t, e in self.automaton.ends[state] if (t, e + 2) not in stay]
+                stay = {(t, e - 1) for t, e in self.automaton.ends[at[i + 1][0]]}
+                ends = [x for x in ends if x not in stay]
+            out += [(t, e - held + 1, base + i - held + 1, held) for t, e in ends]
+            out += [(t, 0, base + i - self.size[t] + 1, self.size[t]) for t in self.inner[state]]
         return out
 
     def chain(self, found: list[tuple[int, int, int, int]]) -> list[Span]:
@@ -182,15 +254,18 @@ class Scanner:
         for t, ms in by.items():
             ms.sort()
             best: list[tuple[int, int]] = []  # tokens covered, span start
+            longest = max(n for _, _, n in ms)
+            first = 0
             for i, (pos, at, n) in enumerate(ms):
                 top = (n, -pos)
-                for j in range(i - 1, -1, -1):
+                while ms[first][0] < pos - self.max_gap - longest:
+                    first += 1
+                for j in range(i - 1, first - 1, -1):
                     p2, a2, n2 = ms[j]
-                    if pos - p2 > self.max_gap + self.size[t]:
-                        break
-                    gap_file, gap_template = pos - p2 - n2, at - a2 - n2
-                    lost = max(0, -min(gap_file, gap_template))
-                    if lost < n and gap_file <= self.max_gap and gap_template <= self.max_gap and p2 < pos and a2 < at:
+                    if a2 >= at or p2 + n2 + self.max_gap < pos or a2 + n2 + self.max_gap < at:
+                        continue
+                    lost = max(0, p2 + n2 - pos, a2 + n2 - at)
+                    if lost < n and p2 < pos:
                         top = max(top, (best[j][0] + n - lost, best[j][1]))
                 best.append(top)
             spans = sorted(((-c, -s, pos + n) for (c, s), (pos, at, n) in zip(best, ms)))
@@ -201,10 +276,20 @@ class Scanner:
                 if free and (-minus >= MIN_SHARE * self.size[t] or -minus >= MIN_TOKENS):
                     taken.insert(k, (start, end))
                     out.append(Span(*self.names[t], start, end, -minus, self.size[t]))
-        return sorted(out, key=lambda s: (s.start, s.end, s.license, s.template))
+        return self.best(sorted(out, key=lambda s: (s.start, s.end, s.license, s.template)))
+
+    def best(self, spans: list[Span]) -> list[Span]:
+        """Without spans inside one of another template that covers more, or as much of a shorter one, unless they are a whole template word for word."""
+        longest, out = max((s.end - s.start for s in spans), default=0), []
+        starts = [s.start for s in spans]
+        for s in spans:
+            near = spans[bisect.bisect_left(starts, s.end - longest) : bisect.bisect_right(starts, s.start)]
+            if s.covered == s.size == s.end - s.start or not any(o.end >= s.end and (-o.covered, o.size) < (-s.covered, s.size) for o in near):
+                out.append(s)
+        return out
 
     def scan(self, arr: pa.Array) -> list[list[Span]]:
-        """Spans of every text. Only runs of at least ``min_match`` template tokens can hold a long match, so the
+        """Spans of every text. Only runs of at least ``shortest`` template tokens can hold a long match, so the
         automaton, which any other token resets, is run over these."""
         out: list[list[Span]] = [[] for _ in range(len(arr))]
         for first, part in chunks(as_string(arr)):
@@ -216,7 +301,7 @@ class Scanner:
             cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(row) != 0)) + 1
             lo, hi = np.r_[0, cut], np.r_[cut, len(at)]
             found: dict[int, list] = {}
-            for a, b in zip(lo[hi - lo >= self.min_match].tolist(), hi[hi - lo >= self.min_match].tolist()):
+            for a, b in zip(lo[hi - lo >= self.shortest].tolist(), hi[hi - lo >= self.shortest].tolist()):
                 if ms := self.matches(code[a:b].tolist(), int(at[a] - w.bounds[row[a]])):
                     found.setdefault(int(row[a]), []).extend(ms)
             for r, ms in found.items():
@@ -231,8 +316,8 @@ def license_spans(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None
     """Template spans of every document: licence, number of its template, token range, tokens covered of the template's.
 
     NULL and empty texts have none; rows with NULL ids and repeated rows are scanned like all others. Spans of one
-    template don't overlap, those of different templates may; equal chains fall to the earlier start. An empty table
-    gives no spans.
+    template don't overlap, those of different templates may, but for parts of templates inside a span that covers more;
+    equal chains fall to the earlier start. An empty table gives no spans.
     """
     scanner = Scanner(TEMPLATES if templates is None else templates)
     kind = pa.list_(pa.struct([("license", pa.string()), ("template", pa.int32()), ("start_token", pa.int64()), ("end_token", pa.int64()), ("covered", pa.int64()), ("size", pa.int64())]))

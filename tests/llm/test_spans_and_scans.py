@@ -117,6 +117,23 @@ def test_license_spans(make):
     assert licenses.license_spans(make([])).count() == 0
 
 
+def test_short_templates_and_whole_notices(make):
+    r = random.Random(2)
+    scanner = licenses.Scanner({"S": ("a b", "b c d"), "Z": ("x a b c d y",)})  # short ones inside a longer match of another
+    assert set(scanner.matches(scanner.sequences[2][:5])) == brute_matches(scanner, scanner.sequences[2][:5]) | {(0, 0, 1, 2), (1, 0, 2, 3)} != brute_matches(scanner, scanner.sequences[2][:5])
+    docs = [prose(r, 20) + " All rights reserved. " + prose(r, 20), "All the rights are reserved", *[t for ts in licenses.TEMPLATES.values() for t in ts]]
+    got = {}
+    for x in licenses.license_spans(make(docs)).collect():
+        got.setdefault(x.doc_id, set()).add((x.license, x.template, x.covered == x.size))
+    assert got[0] == {("All-Rights-Reserved", 0, True)} and 1 not in got
+    for k, (name, t) in enumerate([(n, t) for n, ts in licenses.TEMPLATES.items() for t in range(len(ts))]):
+        assert (name, t, True) in got[k + 2]
+    for x in ("2", "3"):  # licences whose lines differ in a word aren't taken for each other
+        line = f"This work is licensed under the GNU General Public License, version {x}."
+        assert {y.license for y in licenses.license_spans(make([line])).collect()} == {f"GPL-{x}.0"}
+    assert {"GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC"} <= set(licenses.TEMPLATES)
+
+
 # 4
 def test_pii_on_held_out_rows():
     w = pii.train(pii.labelled_table())
