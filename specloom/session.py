@@ -7,6 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Checkpoint folders that go when the JVM ends.
+_LEAVING: set[str] = set()
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -45,11 +47,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder of checkpoints: the cluster's ``spark.checkpoint.dir``, or one in the warehouse where it is unset (tests)."""
+    """Folder of checkpoints and stage tables: a new one in ``spark.checkpoint.dir``, deleted when the session's JVM ends.
+
+    Where that setting is unset, a local session (tests) gets one in its warehouse; a cluster is told to set it, since
+    a folder of the driver's machine isn't shared.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return sc._jsc.sc().getCheckpointDir().get()
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is unset; it has to name a folder that all executors share")
+            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        sc.setCheckpointDir(base)
+    folder = sc._jsc.sc().getCheckpointDir().get()
+    if folder not in _LEAVING:
+        _LEAVING.add(folder)
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
