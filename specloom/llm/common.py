@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
-from specloom.session import prepare
+from specloom.session import checkpoint_dir, prepare
 
-#: Rows or keys that may be broadcast or held by every Python worker; beyond it, a shuffle or slices are used.
-BROADCAST_ROWS = 4_000_000
+#: Bytes of rows that may be broadcast, as estimated from all of them; beyond it, both sides are shuffled.
+BROADCAST_BYTES = 32 << 20
+#: Powers of two of the bits of a key filter, at least and at most (32 MB). It has 8 bits a key or more up to 32 million
+#: keys; with more, it lets more of the other rows pass, and the join after it does the rest.
+FILTER_BITS = (12, 28)
 #: Bytes of text that go to a Python worker at once.
 BATCH_BYTES = 8 << 20
 
@@ -17,32 +26,98 @@ BATCH_BYTES = 8 << 20
 def ready(df: DataFrame) -> SparkSession:
     """The session of ``df``, with a folder for checkpoints.
 
-    The cluster's ``spark.checkpoint.dir`` is used where it is set; otherwise (tests) a folder in the warehouse.
+    Where the session has Spark's default of 64 MB for Arrow batches, they are made ``BATCH_BYTES``, as Python workers
+    hold several at once; any other value stays.
     """
     spark = prepare(df.sparkSession)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.sparkContext.setCheckpointDir(folder)
+    checkpoint_dir(spark)
+    batches = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(batches) == "67108864b":
+        spark.conf.set(batches, f"{BATCH_BYTES}b")
     return spark
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new name for a table among the checkpoints, in the folder that all executors share; what is left there goes at the session's end."""
+    return f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; a missing one is NULL. Columns of other names can't clash later."""
-    batches = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if df.sparkSession.conf.get(batches) == "67108864b":  # the default
-        df.sparkSession.conf.set(batches, f"{BATCH_BYTES}b")
     kinds = {"doc_id": "bigint", "quality": "int", "n_chars": "bigint", "item_id": "bigint", "page_id": "bigint"}
     have = set(df.columns)
     return df.select(*[(F.col(f"`{n}`") if n in have else F.lit(None)).cast(kinds.get(n, "string")).alias(n) for n in names])
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is (Spark then shuffles).
+def _bytes(kind: T.DataType, c: F.Column) -> F.Column:
+    """About the bytes that a value takes in a row."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.octet_length(c) + 16
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, (T.StringType, T.BinaryType, T.StructType, T.ArrayType)):
+            return F.aggregate(c, F.lit(24).cast("bigint"), lambda a, x: a + F.coalesce(_bytes(inner, x).cast("bigint"), F.lit(8)))
+        return F.size(c) * 8 + 24
+    if isinstance(kind, T.StructType):
+        total = F.lit(16)
+        for f in kind.fields:
+            total = total + F.coalesce(_bytes(f.dataType, c[f.name]), F.lit(8))
+        return total
+    return F.lit(8)
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows take at most ``limit`` bytes, else as it is (Spark then shuffles).
 
-    ``df`` is counted, so it should be a checkpoint or cheap to make.
+    The bytes of all rows are added up, so ``df`` should be a checkpoint or cheap to make.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    row = F.lit(16).cast("bigint")
+    for f in df.schema.fields:
+        row = row + F.coalesce(_bytes(f.dataType, F.col(f"`{f.name}`")).cast("bigint"), F.lit(8))
+    taken = df.select(F.sum(row)).head()[0] or 0
+    return F.broadcast(df) if taken <= limit else df
 
 
 def struct_type(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
+
+
+def among(keys: DataFrame) -> Callable[..., F.Column]:
+    """A test of columns against the rows of ``keys``, of the same types: true for all that are among them and for few others.
+
+    Two bits a key in a table that goes to all workers; it stands before a join so that rows without a partner aren't
+    shuffled. ``keys`` should be a checkpoint.
+    """
+    low, high = FILTER_BITS
+    bits = min(high, max(low, (8 * keys.count()).bit_length()))
+    x = F.xxhash64(*keys.columns)
+    at = keys.select(F.explode(F.array(F.shiftrightunsigned(x, 64 - bits), x.bitwiseAND((1 << bits) - 1))).alias("p"))
+    words = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("m")).toArrow()  # at most 2 ** (bits - 6)
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[words["w"].to_numpy()] = words["m"].to_numpy().view(np.uint64)
+
+    @arrow_udf("boolean")
+    def hit(x: pa.Array) -> pa.Array:
+        h = x.to_numpy(zero_copy_only=False).view(np.uint64)
+        ok = np.ones(len(h), bool)
+        for p in (h >> np.uint64(64 - bits), h & np.uint64((1 << bits) - 1)):
+            ok &= (table[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return pa.array(ok)
+
+    return lambda *columns: hit(F.xxhash64(*columns))
+
+
+def lacking(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """Rows of ``df`` whose columns (not NULL) are not among the rows of ``keys``; only those that may be are shuffled."""
+    names = [f"__key{i}" for i in range(len(columns))]
+    keys = keys.toDF(*names)
+    maybe = among(keys)(*columns)
+    met = df.where(maybe)
+    rest = met.join(keys, [met[c] == keys[k] for c, k in zip(columns, names)], "left_anti")
+    return df.where(~F.coalesce(maybe, F.lit(False))).unionByName(rest)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from specloom.llm.common import pick
+from specloom.llm.common import pick, ready
 from specloom.llm.kernel import U, Lookup, as_string, chunks, shingles, words
 from specloom.session import table
 
@@ -152,6 +152,7 @@ def frequencies(docs: DataFrame, keys: np.ndarray) -> dict[int, int]:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> F.Column | None:
     """Column of the items contained in ``docs.text``; None if no item has n-grams."""
+    ready(docs)
     texts = docs.select(F.col("text").cast("string").alias("text"))
     columns = []
     for items in _items(benchmark):

@@ -27,8 +27,6 @@ RUNNER_UP = 0.5
 VOTES = 1000
 #: Linked characters count so many times against a container.
 LINK_COST = 2
-#: Hosts' rows of winning paths that may be broadcast.
-HOST_ROWS = 200_000
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
@@ -203,7 +201,7 @@ def extract_pages(pages: DataFrame, runner_up: float = RUNNER_UP) -> DataFrame:
     ready(pages)
     won = winning_paths(pages, runner_up).checkpoint()
     p = pick(pages, "page_id", "url", "html").withColumn("host", host_of(F.col("url")))
-    joined = p.join(small(won.withColumnRenamed("host", "won_host"), HOST_ROWS), F.col("host") == F.col("won_host"), "left")
+    joined = p.join(small(won.withColumnRenamed("host", "won_host")), F.col("host") == F.col("won_host"), "left")
     return joined.select("page_id", "host", _extract(F.col("html"), F.col("paths")).alias("x")).select("page_id", "host", "x.path", "x.consensus", "x.text")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from specloom.llm.common import pick
+from specloom.llm.common import pick, ready
 from specloom.llm.kernel import Lookup, as_string, chunks, words
 from specloom.session import table
 
@@ -319,6 +319,7 @@ def license_spans(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None
     template don't overlap, those of different templates may, but for parts of templates inside a span that covers more;
     equal chains fall to the earlier start. An empty table gives no spans.
     """
+    ready(docs)
     scanner = Scanner(TEMPLATES if templates is None else templates)
     kind = pa.list_(pa.struct([("license", pa.string()), ("template", pa.int32()), ("start_token", pa.int64()), ("end_token", pa.int64()), ("covered", pa.int64()), ("size", pa.int64())]))
 

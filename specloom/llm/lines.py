@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from specloom.llm import crf
-from specloom.llm.common import pick
+from specloom.llm.common import pick, ready
 from specloom.llm.kernel import as_string, buffers, chunks, runs, words
 from specloom.session import table
 
@@ -107,6 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> crf.W
 
     A document labelled several times counts as bad if any label says so; NULL ids, labels and texts are left out.
     """
+    ready(docs)
     votes = pick(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     wanted = [votes.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     # at most 2 * per_class rows of an id and a label: always small

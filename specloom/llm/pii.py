@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from specloom.llm import crf
-from specloom.llm.common import pick
+from specloom.llm.common import pick, ready
 from specloom.llm.kernel import as_string, buffers, chunks, runs
 from specloom.session import table
 
@@ -290,6 +290,7 @@ def personal_data(docs: DataFrame, labelled: list[str] | None = None) -> DataFra
     NULL and empty texts have none; rows with NULL ids and repeated rows are searched like all others. Labels of equal
     scores fall to the first of ``LABELS``. An empty table gives no rows.
     """
+    ready(docs)
     w = train(labelled_table() if labelled is None else labelled)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("value", pa.string())]))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from specloom.llm.common import pick
+from specloom.llm.common import pick, ready
 from specloom.llm.kernel import as_string
 from specloom.session import table
 
@@ -105,6 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
     A document labelled several times counts as bad if any label says so; NULL ids, labels and texts are left out.
     """
+    ready(docs)
     wanted = None
     votes = pick(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     for q in (0, 1):

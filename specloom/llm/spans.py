@@ -1,8 +1,8 @@
 """Operator 7, substring dedup: sliding spans of sentences, hashed and joined over the whole corpus.
 
-Every run of ``RUN`` consecutive sentences with at least ``MIN_WORDS`` words is hashed by its words; a sentence of
-``LONG`` words, as long as several, is a run of its own too. With ``extend``, a run with too few words takes in the
-next sentences until it has them, so that passages of short sentences or lines are found too. Of all places of a run, the first by document id and position stays; the sentences of every other place are removed.
+A run begins at every sentence and takes in the next ones, ``RUN`` at least, until it has ``MIN_WORDS`` words; it is
+hashed by its words. Of all places of a run, the first by document id and position stays; the sentences of every other
+place are removed.
 """
 
 from __future__ import annotations
@@ -11,17 +11,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from specloom.llm.common import pick, ready
-from specloom.llm.kernel import _BYTE, _WORD, U, as_string, buffers, chunks, mix, runs, words
+from specloom.llm.common import among, discard, pick, ready, scratch
+from specloom.llm.kernel import _WORD, U, as_string, buffers, chunks, mix, runs, words
 from specloom.session import table
 
+#: Sentences of a run at least.
 RUN = 2
-MIN_WORDS = 12
-LONG = 40
+#: Words of a run at least: half of a passage of 50, whose first and last sentence are seldom whole.
+MIN_WORDS = 25
 
 _SPACE, _STOP = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[9, 10, 12, 13, 32]] = True
@@ -48,25 +49,16 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return starts[starts < len(data)] if len(data) else starts[:0]
 
 
-def _row_code(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """31 bits that tell texts of one id apart."""
-    place = np.arange(len(data), dtype=np.int64) - np.repeat(offsets[:-1], np.diff(offsets))
-    total = np.concatenate([[U(0)], np.cumsum(mix(_BYTE[data] + place.astype(U) * _STEP))])
-    return (mix(total[offsets[1:]] - total[offsets[:-1]]) >> U(33)).astype(np.int64)
-
-
-def _lengths(count: np.ndarray, run: int, min_words: int, extend: bool) -> tuple[np.ndarray, np.ndarray]:
+def _lengths(count: np.ndarray, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sentences and words of the run that begins at every sentence, from the sentences' words; beyond the last one, no words."""
     n = len(count)
     total = np.concatenate([[0], np.cumsum(count)])
-    many = np.full(n, run)
-    if extend:
-        many = np.maximum(many, np.searchsorted(total, total[:-1] + min_words) - np.arange(n))
+    many = np.maximum(run, np.searchsorted(total, total[:-1] + min_words) - np.arange(n))
     end = np.arange(n) + many
     return many, np.where(end <= n, total[np.minimum(end, n)] - total[:-1], 0)
 
 
-def _runs_of(run: int, min_words: int, long: int, extend: bool):
+def _runs_of(run: int, min_words: int):
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in chunks(as_string(batch["text"])):
@@ -81,52 +73,43 @@ def _runs_of(run: int, min_words: int, long: int, extend: bool):
                 place = np.arange(len(w.hash)) - np.repeat(at, count)
                 total = np.concatenate([[U(0)], np.cumsum(mix(w.hash + place.astype(U) * _STEP))])
                 sentence = mix(total[at + count] - total[at] + count.astype(U))
-                many, size = _lengths(count, run, min_words, extend)
-                several = np.flatnonzero((size >= max(min_words, 1)) & (row == row[np.minimum(np.arange(n) + many, n) - 1]))
-                acc = sentence[several]
-                for j in range(1, int(many[several].max(initial=1))):
-                    on = np.flatnonzero(many[several] > j)
-                    acc[on] = acc[on] * _STEP + sentence[several[on] + j]
-                alone = np.flatnonzero(count >= long)
-                keep = np.concatenate([several, alone])
+                many, size = _lengths(count, run, min_words)
+                keep = np.flatnonzero((size >= max(min_words, 1)) & (row == row[np.minimum(np.arange(n) + many, n) - 1]))
                 if not len(keep):
                     continue
-                one = np.repeat([0, 1], [len(several), len(alone)])
-                h = np.concatenate([mix(acc), mix(sentence[alone] + U(1))])
+                acc = sentence[keep]
+                for j in range(1, int(many[keep].max())):
+                    on = np.flatnonzero(many[keep] > j)
+                    acc[on] = acc[on] * _STEP + sentence[keep[on] + j]
                 ordinal = np.arange(n) - np.searchsorted(row, row)
-                raw, offsets = buffers(part)
-                pos = (ordinal[keep] << 32) | (one << 31) | _row_code(raw, offsets)[row[keep]]
-                yield pa.record_batch({"h": pa.array(h.view(np.int64)), "doc_id": batch["doc_id"].take(pa.array(first + row[keep])), "pos": pa.array(pos)})
+                rows = pa.array(first + row[keep])
+                yield pa.record_batch({"h": pa.array(mix(acc).view(np.int64)), **{c: batch[c].take(rows) for c in KEY}, "at": pa.array(ordinal[keep].astype(np.int32))})
 
     return hashes
 
 
-def _cut(run: int, min_words: int, extend: bool):
+def _cut(run: int, min_words: int):
     kind = pa.struct([("n_removed", pa.int64()), ("n_left", pa.int64()), ("text", pa.string())])
 
     @arrow_udf("struct<n_removed bigint, n_left bigint, text string>")
-    def cut(text: pa.Array, code: pa.Array, at: pa.Array) -> pa.Array:
-        """Texts without the sentences of the runs at ``at``; NULL where the code is of another text."""
+    def cut(text: pa.Array, at: pa.Array) -> pa.Array:
+        """Texts without the sentences of the runs that begin at ``at``."""
         data, offsets = buffers(as_string(text))
         out = []
-        for i, (c, runs_at) in enumerate(zip(code.to_pylist(), at)):
+        for i, places in enumerate(at):
             row = data[offsets[i] : offsets[i + 1]]
             own = np.array([0, len(row)])
-            if _row_code(row, own)[0] != c:
-                out.append(None)
-                continue
             starts = segments(row, own)
             begin, _ = runs(_ANY_WORD[row], own)
             ends = np.append(starts[1:], len(row))
             count = np.searchsorted(begin, ends) - np.searchsorted(begin, starts)
             live = np.flatnonzero(count)
-            gone = np.zeros(len(live), bool)
-            places = runs_at.values.to_numpy()
-            gone[places // 2] = True
-            several = places[places % 2 == 0] // 2
-            many = _lengths(count[live], run, min_words, extend)[0][several]
-            for k in range(1, int(many.max(initial=1))):
-                gone[several[many > k] + k] = True
+            first = places.values.to_numpy()
+            many = _lengths(count[live], run, min_words)[0][first]
+            edge = np.zeros(len(live) + 1, np.int64)
+            np.add.at(edge, first, 1)
+            np.add.at(edge, first + many, -1)
+            gone = np.cumsum(edge[:-1]) > 0
             keep = np.ones(len(starts), bool)
             keep[live[gone]] = False
             raw = row.tobytes()
@@ -136,27 +119,48 @@ def _cut(run: int, min_words: int, extend: bool):
     return cut
 
 
-def repeated_runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, long: int = LONG, extend: bool = False) -> DataFrame:
-    """All places of runs but the first: ``doc_id``, the text's ``code`` and ``at``, twice the ordinal of each run's first sentence, plus 1 if it is all of the run."""
-    d = pick(docs, "doc_id", "text").where("text is not null")
-    places = d.mapInArrow(_runs_of(run, min_words, long, extend), "h long, doc_id long, pos long")
-    order = Window.partitionBy("h").orderBy(F.col("doc_id").asc_nulls_last(), "pos")
-    later = places.withColumn("r", F.rank().over(order)).where("r > 1")
-    return later.groupBy("doc_id", F.expr("pos & 2147483647").alias("code")).agg(F.sort_array(F.collect_set(F.expr("shiftright(pos, 31)"))).alias("at"))
+#: What tells texts apart: the id and 128 bits of the text, as an id may be NULL or have several texts.
+KEY = ("doc_id", "code", "code2")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return pick(docs, "doc_id", "text").where("text is not null").withColumns({"code": F.xxhash64("text"), "code2": F.xxhash64(F.lit(1), "text")})
+
 
+def repeated_runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
+    """Of every text with places of runs other than the first: its key and ``at``, the ordinals of those runs' first sentences.
 
-def cut_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, long: int = LONG, extend: bool = False) -> DataFrame:
+    Hashes are counted first, with partial sums before the shuffle; only places of repeated ones go further. No group
+    of places is sorted or held by one task, however often its run is there.
+    """
+    spark = ready(docs)
+    folder = scratch(spark)
+    _texts(docs).mapInArrow(_runs_of(run, min_words), "h long, doc_id long, code long, code2 long, at int").write.parquet(folder)
+    places = spark.read.parquet(folder)
+    repeated = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("rh")).checkpoint()
+    place = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "at", "code", "code2")
+    held = places.where(among(repeated)("h")).select("h", place.alias("place"))  # and a few that aren't repeated
+    first = held.groupBy(F.col("h").alias("fh")).agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("fh", "first")
+    later = held.join(first, F.col("h") == F.col("fh")).where("place > first").select("place.*")
+    found = later.groupBy(*KEY).agg(F.sort_array(F.collect_set("at")).alias("at")).checkpoint()
+    discard(spark, folder)
+    return found
+
+
+def cut_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """Documents that lose sentences: how many go and stay, and the text that is left.
 
-    Sentences without words count for nothing and stay. Texts without a run, NULL and empty texts lose
-    nothing. NULL ids come after all others. Equal rows of an id are one place and are cut alike, as often as
-    they are there; different texts of an id are different places. An empty table gives an empty one.
+    Sentences without words count for nothing and stay. Texts without a run, NULL and empty texts lose nothing. NULL
+    ids come after all others. Equal rows of an id are one place and are cut alike, as often as they are there;
+    different texts of an id (or of none) are different places, at the same ordinal in order of their hashes. An empty
+    table gives an empty one.
     """
     ready(docs)
-    d = pick(docs, "doc_id", "text").where("text is not null")
-    later = repeated_runs(docs, run, min_words, long, extend).select(F.col("doc_id").alias("id"), "code", "at")
-    cut = d.join(later, d["doc_id"].eqNullSafe(later["id"])).select("doc_id", _cut(run, min_words, extend)(F.col("text"), F.col("code"), F.col("at")).alias("c"))
-    return cut.where("c is not null").select("doc_id", "c.n_removed", "c.n_left", "c.text")
+    d = _texts(docs)
+    later = repeated_runs(docs, run, min_words).select(F.col("doc_id").alias("id"), F.col("code").alias("c"), F.col("code2").alias("c2"), "at")
+    d = d.where(among(later.select("c"))("code"))
+    met = d.join(later, d["doc_id"].eqNullSafe(F.col("id")) & (d["code"] == F.col("c")) & (d["code2"] == F.col("c2")))
+    return met.select("doc_id", _cut(run, min_words)(F.col("text"), F.col("at")).alias("x")).select("doc_id", "x.n_removed", "x.n_left", "x.text")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,37 +168,20 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(table(spark, sf_dir, "documents"))
 
 
-def op7_extended_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Like ``op7_substring_dedup``, but runs of short sentences are extended, not passed over."""
-    return cut_repeats(table(spark, sf_dir, "documents"), extend=True)
-
-
 _SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents WHERE text IS NOT NULL),
 seg AS (SELECT row, doc_id, text, generate_subscripts(s, 1) AS i, unnest(s) AS s FROM
   (SELECT *, string_split(regexp_replace(text, '([.!?][ \t\n\f\r]+|\n+)', '\1' || chr(1), 'g'), chr(1)) AS s FROM d)),
 live AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY i) AS o, regexp_extract_all(lower(s), '(?:[a-z0-9_]|[^\x00-\x7F])+') AS w FROM seg WHERE regexp_matches(lower(s), '[a-z0-9_]|[^\x00-\x7F]')),
-run AS (SELECT a.row, a.doc_id, a.text, a.o, array_to_string(a.w, ' ') || chr(10) || array_to_string(b.w, ' ') AS h, 1 AS more FROM live a JOIN live b ON a.row = b.row AND b.o = a.o + 1 WHERE len(a.w) + len(b.w) >= {MIN_WORDS}
-  UNION ALL SELECT row, doc_id, text, o, array_to_string(w, ' '), 0 FROM live WHERE len(w) >= {LONG}),
+grown AS (SELECT a.row, a.doc_id, a.text, a.o, b.o - a.o AS more, sum(len(b.w)) OVER g AS words, string_agg(array_to_string(b.w, ' '), chr(10)) OVER g AS h
+  FROM live a JOIN live b ON a.row = b.row AND b.o BETWEEN a.o AND a.o + {max(MIN_WORDS, RUN) - 1} WINDOW g AS (PARTITION BY a.row, a.o ORDER BY b.o)),
+run AS (SELECT row, doc_id, text, o, arg_min(h, more) AS h, min(more) AS more FROM grown WHERE more >= {RUN - 1} AND words >= {MIN_WORDS} GROUP BY row, doc_id, text, o),
 later AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY h ORDER BY doc_id NULLS LAST, o, text) AS r FROM run) WHERE r > 1),
-gone AS (SELECT DISTINCT row, o + k AS o FROM later, (VALUES (0), (1)) AS v(k) WHERE k <= more)
+gone AS (SELECT DISTINCT row, o + k AS o FROM later, range({max(MIN_WORDS, RUN)}) AS v(k) WHERE k <= more)
 SELECT doc_id, count(g.o) AS n_removed, count(l.o) - count(g.o) AS n_left, coalesce(string_agg(CASE WHEN g.o IS NULL THEN seg.s END, '' ORDER BY seg.i), '') AS text
 FROM seg LEFT JOIN live l USING (row, doc_id, i) LEFT JOIN gone g ON g.row = seg.row AND g.o = l.o
 WHERE seg.row IN (SELECT row FROM gone) GROUP BY seg.row, doc_id
 """
 
-_ROWS = "run AS (SELECT a.row"
-_LATER = "later AS (SELECT *"
-#: The same with runs extended: every start's shortest run of two sentences or more that has the words.
-_EXTENDED_SQL = (
-    _SQL[: _SQL.index(_ROWS)]
-    + rf"""grown AS (SELECT a.row, a.doc_id, a.text, a.o, b.o - a.o AS more, sum(len(b.w)) OVER g AS words, string_agg(array_to_string(b.w, ' '), chr(10)) OVER g AS h
-  FROM live a JOIN live b ON a.row = b.row AND b.o BETWEEN a.o AND a.o + {max(MIN_WORDS, 2) - 1} WINDOW g AS (PARTITION BY a.row, a.o ORDER BY b.o)),
-run AS (SELECT row, doc_id, text, o, arg_min(h, more) AS h, min(more) AS more FROM grown WHERE more >= {RUN - 1} AND words >= {MIN_WORDS} GROUP BY row, doc_id, text, o
-  UNION ALL SELECT row, doc_id, text, o, array_to_string(w, ' '), 0 FROM live WHERE len(w) >= {LONG}),
-"""
-    + _SQL[_SQL.index(_LATER) :].replace("(VALUES (0), (1)) AS v(k)", f"range({max(MIN_WORDS, 2)}) AS v(k)")
-)
-
-QUERIES = {"op7_substring_dedup": op7_substring_dedup, "op7_extended_dedup": op7_extended_dedup}
-ORACLES = {"op7_substring_dedup": _SQL, "op7_extended_dedup": _EXTENDED_SQL}
+QUERIES = {"op7_substring_dedup": op7_substring_dedup}
+ORACLES = {"op7_substring_dedup": _SQL}

@@ -6,6 +6,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import functions as F
 
 from specloom.llm import crf, kernel, licenses, pii, spans
@@ -14,6 +15,11 @@ from tests_llm_util import edited, prose
 
 
 # 7
+def text_code(t):
+    """The hash that orders texts of one id: Spark's xxhash64."""
+    return np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64)
+
+
 def brute_cut(docs):
     """Texts by row after removal; rows are (id, text)."""
     seg = [[s for s in re.sub(r"([.!?][ \t\n\f\r]+|\n+)", "\\1\x01", t).split("\x01")] for _, t in docs]
@@ -22,15 +28,14 @@ def brute_cut(docs):
         live = [(k, tuple(re.findall(kernel.WORD, s.lower()))) for k, s in enumerate(ss)]
         live = [(k, w) for k, w in live if w]
         for o in range(len(live)):
-            if len(live[o][1]) >= spans.LONG:
-                places.setdefault((live[o][1],), []).append((i, o, t, r, [live[o][0]]))
-            if o + 1 < len(live) and len(live[o][1]) + len(live[o + 1][1]) >= spans.MIN_WORDS:
-                places.setdefault((live[o][1], live[o + 1][1]), []).append((i, o, t, r, [live[o][0], live[o + 1][0]]))
+            for e in range(o + spans.RUN, len(live) + 1):
+                if sum(len(w) for _, w in live[o:e]) >= spans.MIN_WORDS:
+                    places.setdefault(tuple(w for _, w in live[o:e]), []).append((i is None, i or 0, o, text_code(t), r, [k for k, _ in live[o:e]]))
+                    break
     gone = {}
     for found in places.values():
-        found.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2]))
-        for i, o, t, r, ks in found:
-            if (i, o, t) != found[0][:3]:
+        for *place, r, ks in found:
+            if place != min(f[:4] for f in map(list, found)):
                 gone.setdefault(r, set()).update(ks)
     return {r: "".join(s for k, s in enumerate(seg[r]) if k not in g) for r, g in gone.items()}
 
@@ -49,22 +54,31 @@ def test_cut_against_brute_force(make):
     assert got == sorted((str(docs[k][0]), t) for k, t in want.items()) and len(want) > 15
 
 
+def test_texts_without_ids_are_told_apart(make):
+    r = random.Random(21)
+    shared = [prose(r, 60) for _ in range(5)]
+    docs = [(None if i % 4 else i, "\n".join([prose(r, 20), shared[i % 5], prose(r, 20)][i % 3 :])) for i in range(300)]
+    want = brute_cut(docs)
+    got = sorted((str(x.doc_id), x.text) for x in spans.cut_repeats(make(docs)).collect())
+    assert got == sorted((str(docs[k][0]), t) for k, t in want.items()) and sum(docs[k][0] is None for k in want) > 100
+
+
 def test_cut_of_odd_tables(make):
     assert spans.cut_repeats(make([])).count() == 0
-    t = "One two three four five six seven. Eight nine ten eleven twelve thirteen."
-    d = make([(1, t), (1, t), (2, t), (3, None), (4, "z. " * 20_000)]).withColumns({"h": F.lit(0), "pos": F.lit(""), "code": F.lit(1), "at": F.lit(2), "id": F.lit("i")})
+    t = "One two three four five six seven. Eight nine ten eleven twelve thirteen. " * 2
+    d = make([(1, t), (1, t), (2, t), (3, None), (4, "z. " * 20_000), (5, "word " * 50_000)]).withColumns({"h": F.lit(0), "at": F.lit(""), "code": F.lit(1), "c": F.lit(2), "id": F.lit("i")})
     out = spans.cut_repeats(d).collect()
-    assert [(x.doc_id, x.n_removed, x.n_left, x.text) for x in out] == [(2, 2, 0, "")]
+    # equal rows are one place; of one word over and over the first run stays
+    assert sorted((x.doc_id, x.n_removed, x.n_left, x.text) for x in out) == [(2, 4, 0, ""), (4, 19_999, 1, "z. ")]
 
 
 def test_runs_of_short_sentences_are_extended(make):
-    verse = "Lo! The sea. A gull. Cold rain! Old nets. No boat. A bell. Who calls? Far off."
-    tail = " A sentence of the document's own with more than twelve words closes each of them off here, number "
+    verse = "Lo! The sea. A gull. Cold rain! Old nets. No boat. A bell. Who calls? Far off. A light. Then none. We row. We row."
+    tail = " A sentence of the document's own with more than twelve words, and so of twenty-five with the one before it, closes each of them off here, number "
     docs = [(1, verse + tail + "one."), (2, "Another one begins.\n" + verse + tail + "two."), (3, "Lo! The sea. A gull."), (4, "Stop!! " * 30), (5, "Lo! The sea. A gull. Cold rain! Old nets.")]
-    assert spans.cut_repeats(make(docs)).count() == 0  # two sentences never have the words
-    got = {x.doc_id: (x.n_removed, x.text) for x in spans.cut_repeats(make(docs), extend=True).collect()}
-    # a run of fewer than twelve words in all (3, 5) is no passage; one word over and over is left once
-    assert got == {2: (9, "Another one begins.\n" + (tail + "two.")[1:]), 4: (29, "Stop!! ")}
+    got = {x.doc_id: (x.n_removed, x.text) for x in spans.cut_repeats(make(docs)).collect()}
+    # a run of too few words in all (3, 5) is no passage; one word over and over is left once
+    assert got == {2: (13, "Another one begins.\n" + (tail + "two.")[1:]), 4: (29, "Stop!! ")}
 
 
 # 10
