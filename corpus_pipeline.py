@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from specloom.llm.common import ready
+from specloom.llm.common import discard, ready, scratch
 from specloom.llm.decontamination import drop_contaminated
 from specloom.llm.mixing import mix_rows
 from specloom.llm.ngram_join import keep_one
@@ -47,13 +45,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``. Each but the last is written as Parquet beside the checkpoints and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``. Each but the last is written as Parquet beside the checkpoints and read again.
+
+    A stage's table is deleted when the next one is written; the one that the result reads goes with the checkpoints,
+    at the session's end. Rows with NULL ids or texts, repeated rows and further columns, whatever their names, go
+    through every stage by the rules that its operator states. Empty documents give an empty result.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     ready(docs)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stages-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
+    for _, stage in STAGES[:-1]:
+        folder = scratch(spark)
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        if before:
+            discard(spark, before)
+        docs, before = spark.read.parquet(folder), folder
+    return STAGES[-1][1](spark, docs, sf_dir)

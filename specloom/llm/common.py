@@ -115,7 +115,7 @@ def among(keys: DataFrame) -> Callable[..., F.Column]:
 
 def lacking(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
     """Rows of ``df`` whose columns (not NULL) are not among the rows of ``keys``; only those that may be are shuffled."""
-    names = [f"__key{i}" for i in range(len(columns))]
+    names = [f"__key_{uuid.uuid4().hex}" for _ in columns]
     keys = keys.toDF(*names)
     maybe = among(keys)(*columns)
     met = df.where(maybe)

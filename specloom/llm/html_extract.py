@@ -8,6 +8,7 @@ back to its own best container.
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 from typing import NamedTuple
@@ -23,91 +24,184 @@ from specloom.session import table
 
 #: A path wins besides the best one from this share of the best one's votes on.
 RUNNER_UP = 0.5
-#: A page's votes; integers, so that sums don't depend on their order.
-VOTES = 1000
+#: A page's votes; integers, so that sums don't depend on their order. A path's share is rounded down to a 10**9th.
+VOTES = 10**9
+#: Containers that a path names at most, the innermost ones, and characters of one's classes that it holds in clear.
+STEPS, STEP = 32, 200
 #: Linked characters count so many times against a container.
 LINK_COST = 2
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
-_CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Attributes up to the tag's end. Only an equals sign opens a quote, and a quote that isn't closed is an ordinary
+#: character. Possessive, so a tag is read once.
+_ATTRIBUTES = r"((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>=]|=)*+)>"
+_NAME = r"(/?)([a-zA-Z][^\s/>]*+)"
+_TAG = re.compile(_NAME + _ATTRIBUTES)
+_PLAIN_TAG = re.compile(_NAME + r"([^>]*+)>")
+_CLASS = re.compile(r"(?:^|\s|[\"'/])class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CONTAINER = frozenset("body div article section main td th center blockquote dd details figure nav aside header footer form table ul ol dl".split())
-_DROPPED = frozenset("head nav aside footer form button select option title script style".split())
+#: What is in these is none of a page's text, unless they are left open.
+_DROPPED = frozenset("head nav aside footer button select option title".split())
 _BLOCK = _CONTAINER | frozenset("p h1 h2 h3 h4 h5 h6 li tr pre br hr dt address figcaption summary caption".split())
+#: Tags that a head may hold; any other one ends it.
+_IN_HEAD = frozenset("head title meta link base script style noscript template".split())
+#: Tags that hold raw text up to their own end.
+_RAW = frozenset("script style noscript template textarea svg iframe".split())
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in _RAW}
 #: Tags whose opening ends an open one of the same kind.
 _CLOSES = {"p": ("p",), "li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 _SCOPE = frozenset("table ul ol dl body article section main div td th".split())
 
 
 class Container(NamedTuple):
-    """Number of the container around it, generalised path, and whether the text in it counts."""
+    """Number of the container around it, generalised path, whether the text in it counts, and how many are around it."""
 
     parent: int
     path: str
     live: bool
+    depth: int
 
 
 def generalise(tag: str, attributes: str) -> str:
-    """Tag with its classes, sorted, runs of digits as ``#``."""
+    """Tag with its classes, sorted, runs of digits as ``#``; a long list of classes is known by its hash."""
     m = _CLASS.search(attributes) if attributes else None
-    names = sorted({re.sub(r"\d+", "#", c.lower()) for c in (m[1] or m[2] or m[3] or "").split()}) if m else []
-    return ".".join([tag, *names])
+    names = sorted({re.sub(r"\d+", "#", c.lower().replace(">", "")) for c in (m[1] or m[2] or m[3] or "").split()}) if m else []
+    step = ".".join([tag, *names])
+    return step if len(step) <= STEP else f"{tag}.~{hashlib.md5(step.encode('utf-8', 'replace')).hexdigest()}"
+
+
+def _path(outer: Container, step: str) -> str:
+    """Path of a container inside ``outer``: its own step and those around it, the innermost ``STEPS``."""
+    path = f"{outer.path}>{step}" if outer.path else step
+    return path if outer.depth < STEPS else path.split(">", 1)[1]
+
+
+class Tag(NamedTuple):
+    start: int
+    end: int
+    closing: bool
+    name: str
+    attributes: str
+
+
+def tags(page: str) -> list[Tag]:
+    """Tags of a page in order, in time linear in its length; a piece that is no text (a comment, raw text) is a tag without a name.
+
+    Comments and raw text that aren't closed run to the page's end. If a tag isn't closed because of its quotes,
+    quotes count for nothing from there on; what follows the last tag is text, with ``<`` in it or not.
+    """
+    out, at, last = [], 0, page.rfind(">")
+    pattern = _TAG
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            return out
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            out.append(Tag(at, end, False, "", ""))
+        elif page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at)
+            end = len(page) if end < 0 else end + 3
+            out.append(Tag(at, end, False, "", ""))
+        elif at > last:
+            return out
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at) + 1
+            out.append(Tag(at, end, False, "", ""))
+        else:
+            m = pattern.match(page, at + 1)
+            if m is None and pattern is _TAG and page[at + 1 : at + 3].lstrip("/")[:1].isalpha():
+                pattern = _PLAIN_TAG
+                m = pattern.match(page, at + 1)
+            if m is None:
+                at += 1
+                continue
+            end, name = m.end(), m[2].lower()
+            raw = not m[1] and name in _RAW
+            if raw and (name != "svg" or not m[3].endswith("/")):
+                close = _RAW_END[name].search(page, end)
+                end = close.end() if close else len(page)
+            out.append(Tag(at, end, bool(m[1]), "" if raw else name, m[3]))
+        at = end
 
 
 def parse(page: str) -> tuple[list[Container], list[tuple[int, str | None, bool]]]:
     """Containers in order, and pieces of text: container, text (None for a block's edge), linked or not.
 
     Text outside of any container belongs to number 0, the page itself. Broken nesting is mended: an end tag without
-    a beginning is skipped, one that ends several tags ends them all, and a page's end ends everything.
+    a beginning is skipped, one that ends several tags ends them all, a head ends where a tag begins that it can't
+    hold, and a page's end ends everything. A dropped tag that no end tag of its own closes drops nothing. Line feeds
+    in ``pre`` are edges; elsewhere they are white space.
     """
-    nodes, pieces = [Container(-1, "", True)], []
-    stack: list[tuple[str, int, int, int]] = []  # tag, container, dropped, linked
-    node = dropped = linked = at = 0
-    for m in _TAG.finditer(page):
-        if m.start() > at and not dropped:
-            pieces.append((node, page[at : m.start()], linked > 0))
-        at = m.end()
-        name = m[3]
-        if name is None:
+    found = tags(page)
+    nodes, pieces, open_ = _build(page, found, frozenset())
+    return (nodes, pieces) if not open_ else _build(page, found, open_)[:2]
+
+
+def _build(page: str, found: list[Tag], harmless: frozenset[int]) -> tuple[list[Container], list[tuple[int, str | None, bool]], frozenset[int]]:
+    """As ``parse``, and the dropped tags that were left open; those in ``harmless`` drop nothing."""
+    nodes, pieces = [Container(-1, "", True, 0)], []
+    stack: list[tuple[str, int, int, int, int]] = []  # tag, container, dropped, linked, number
+    depth_of: dict[str, list[int]] = {}
+    unclosed: set[int] = set()
+    node = dropped = linked = pre = at = 0
+
+    def text(raw: str) -> None:
+        for k, line in enumerate(raw.split("\n") if pre else [raw.replace("\n", " ")]):
+            if k:
+                pieces.append((node, None, False))
+            pieces.append((node, line, linked > 0))
+
+    def cut(depth: int, own: bool) -> None:
+        """End the tags from ``depth`` on; the first of them by its own end tag or not."""
+        nonlocal node, dropped, linked, pre
+        for d in range(len(stack) - 1, depth - 1, -1):
+            name = stack[d][0]
+            depth_of[name].pop()
+            pre -= name == "pre"
+            if name in _DROPPED and name not in ("head", "option") and not (own and d == depth):
+                unclosed.add(stack[d][4])
+        _, node, dropped, linked, _ = stack[depth]
+        del stack[depth:]
+
+    for i, t in enumerate(found):
+        if t.start > at and not dropped:
+            text(page[at : t.start])
+        at = t.end
+        tag = t.name
+        if not tag:
             continue
-        tag = name.lower()
+        if not t.closing and depth_of.get("head") and tag not in _IN_HEAD:
+            cut(depth_of["head"][-1], True)
         if tag in _BLOCK and not dropped:
             pieces.append((node, None, False))
-        if m[2]:
-            depth = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == tag), -1)
-            if depth >= 0:
-                _, node, dropped, linked = stack[depth]
-                del stack[depth:]
+        if t.closing:
+            if depth_of.get(tag):
+                cut(depth_of[tag][-1], True)
             continue
         if tag in _VOID:
             continue
         if tag in _CLOSES:
-            for d in range(len(stack) - 1, -1, -1):
-                if stack[d][0] in _CLOSES[tag]:
-                    _, node, dropped, linked = stack[d]
-                    del stack[d:]
-                    break
-                if stack[d][0] in _SCOPE:
-                    break
-        stack.append((tag, node, dropped, linked))
-        if m[4].endswith("/") and tag not in _BLOCK:
-            stack.pop()
+            floor = max((depth_of[x][-1] for x in _SCOPE if depth_of.get(x) and x not in _CLOSES[tag]), default=-1)
+            inner = [depth_of[x][-1] for x in _CLOSES[tag] if depth_of.get(x) and depth_of[x][-1] > floor]
+            if inner:
+                cut(max(inner), True)
+        if t.attributes.endswith("/") and tag not in _BLOCK:
             continue
-        if tag == "a":
-            linked += 1
-        if tag in _DROPPED:
-            dropped += 1
+        depth_of.setdefault(tag, []).append(len(stack))
+        stack.append((tag, node, dropped, linked, i))
+        linked += tag == "a"
+        pre += tag == "pre"
+        dropped += tag in _DROPPED and i not in harmless
         if tag in _CONTAINER:
-            nodes.append(Container(node, (nodes[node].path + ">" if node else "") + generalise(tag, m[4]), not dropped))
+            nodes.append(Container(node, _path(nodes[node], generalise(tag, t.attributes)), not dropped, nodes[node].depth + 1))
             node = len(nodes) - 1
     if at < len(page) and not dropped:
-        pieces.append((node, page[at:], linked > 0))
-    return nodes, pieces
+        text(page[at:])
+    unclosed |= {t[4] for t in stack if t[0] in _DROPPED and t[0] not in ("head", "option")}
+    return nodes, pieces, frozenset(unclosed)
 
 
 def scores(page: str) -> dict[str, int]:
@@ -153,8 +247,7 @@ def extract(page: str, paths: list[str] | None) -> tuple[str, str, bool]:
         first = ranked[0][0]
         for i, c in enumerate(nodes):
             inside[i] = c.path == first or (c.parent >= 0 and inside[c.parent])
-    # line feeds of the source are white space, those of block edges aren't
-    return clean("".join("\n" if t is None else t.replace("\n", " ") for n, t, _ in pieces if inside[n])), first, found
+    return clean("".join("\n" if t is None else t for n, t, _ in pieces if inside[n])), first, found
 
 
 def host_of(url: F.Column) -> F.Column:

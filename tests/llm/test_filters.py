@@ -152,6 +152,29 @@ def test_exponent_meets_its_target():
     assert mixing.budgets({"a": 0, None: 0}, repeats=2.0) == {"a": 0, None: 0}
 
 
+def test_the_binding_limit_counts():
+    b = mixing.budgets({"a": 10**9, "b": 10**9, "c": 50}, mixing.ENTROPY, mixing.LIMIT)
+    assert b["a"] == b["b"] == 10**9 and 150 <= b["c"] <= 50 * mixing.LIMIT  # the entropy alone asks for ten million passes
+    mild = {"a": 1000, "b": 900, "c": 500}
+    assert mixing.budgets(mild, 0.98, 4.0) == mixing.budgets(mild, 0.98)
+    for tokens in ([10**13, 10**13, 1000], [5, 1], [7, 7, 7], [10**6, 3, 2, 1]):
+        for entropy, repeats in ((0.5, 3.0), (0.98, 4.0), (1.0, 2.0)):
+            b = mixing.budgets(dict(enumerate(tokens)), entropy, repeats)
+            assert all(t <= b[i] <= t * repeats + 1 for i, t in enumerate(tokens))
+
+
+def test_tiny_sources_and_sources_that_are_no_strings(spark):
+    rows = [(i, "w " * 50, 1) for i in range(200)] + [(1000, "one two", 2), (1001, "w " * 3000, 3)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source int")
+    out = mixing.mix(d)
+    assert dict(out.dtypes)["source"] == "int"
+    passes = {r.source: r.n for r in out.groupBy("source").agg((F.max("mix_pass") + 1).alias("n")).collect()}
+    assert passes[1] == 1 and passes[2] == mixing.LIMIT and passes[3] <= mixing.LIMIT
+    plan = {r.source: r for r in mixing.plan(d).collect()}
+    assert abs(sum(r.weight for r in plan.values()) - 1) < 1e-9 and plan["2"].repeats <= mixing.LIMIT + 0.5 and plan["1"].entropy < mixing.ENTROPY
+    assert mixing.plan(d.where("false")).count() == 0
+
+
 def test_mix_fills_budgets(spark):
     rows = [(i, "w " * (i % 7 + 1), "big" if i < 900 else "small" if i < 990 else None) for i in range(1000)] + [(2000, "", "big"), (2001, None, "big")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("extra", F.lit(1)).withColumn("mix_block", F.lit("x"))

@@ -1,11 +1,14 @@
 """The pipeline: every stage on what the one before kept, and all of it."""
 
 import random
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from specloom.llm import decontamination, ngram_join, quality
+from specloom.session import checkpoint_dir
 from tests_llm_util import edited, prose
 
 
@@ -51,6 +54,30 @@ def test_run(spark, corpus):
     assert ngram_join.THRESHOLD and decontamination.THRESHOLD
 
 
+def test_odd_rows_and_columns(spark, corpus, tmp_path):
+    """NULL ids and texts, repeated rows, and columns named like those that the operators make."""
+    folder, texts = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 60")
+    t = texts[0]
+    odd = spark.createDataFrame([(None, t, "en", "s", 1), (None, None, None, None, None), (70, None, "en", None, 1), (71, "", "en", "s", 1), (160, texts[5], "en", "s", 1), (160, texts[5], "en", "s", 1)], docs.schema)
+    clash = {c: F.lit(i) for i, c in enumerate(("cid", "g", "targets", "shard", "mix_pass", "token", "code", "c", "x", "good_score", "__key0"))}
+    docs.unionByName(odd).withColumns(clash).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    out = cp.run(spark, str(tmp_path))
+    assert set(out.columns) == {*docs.columns, *clash}
+    ids = [r.doc_id for r in out.select("doc_id").collect()]
+    assert set(range(60)) <= set(ids) and 160 not in ids and None in ids  # a copy goes, a text without an id stays
+
+
+def test_stage_tables_are_deleted(spark, corpus):
+    folder, _ = corpus
+    there = lambda: {p.name for p in Path(checkpoint_dir(spark).removeprefix("file:")).glob("table-*")}
+    before = there()
+    cp.run(spark, folder).count()
+    assert len(there() - before) == 1  # the one that the result reads
+
+
 def test_empty_documents(spark, corpus, tmp_path):
     folder, _ = corpus
     spark.read.parquet(f"{folder}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")

@@ -2,6 +2,8 @@
 
 import random
 import re
+import time
+from fractions import Fraction
 from html.parser import HTMLParser
 
 import numpy as np
@@ -218,6 +220,91 @@ def test_extraction(spark):
     assert he.extract_pages(df.where("false")).count() == 0
 
 
+class Score(HTMLParser):
+    """Unlinked less twice linked characters of every container's own text, by path, for pages with all end tags."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.linked, self.off, self.scores = [], 0, 0, {}
+
+    def handle_starttag(self, tag, attrs):
+        self.linked += tag == "a"
+        self.off += tag in he._DROPPED
+        if tag in he._CONTAINER:
+            names = sorted({re.sub(r"\d+", "#", c) for c in (dict(attrs).get("class") or "").split()})
+            self.stack.append((tag, ".".join([tag, *names])))
+
+    def handle_endtag(self, tag):
+        self.linked -= tag == "a"
+        self.off -= tag in he._DROPPED
+        if tag in he._CONTAINER:
+            self.stack.pop()
+
+    def handle_data(self, data):
+        n = len("".join(data.split()))
+        if n and not self.off:
+            path = ">".join(s for _, s in self.stack)
+            self.scores[path] = self.scores.get(path, 0) + (-he.LINK_COST * n if self.linked else n)
+
+
+def random_page(r, depth=0):
+    """Nested containers with text and links; all tags are closed."""
+    out = []
+    for _ in range(r.randint(1, 4)):
+        x = r.random()
+        if x < 0.45 and depth < 4:
+            tag = r.choice(["div", "section", "article", "div", "nav"])
+            out.append(f'<{tag} class="{r.choice(["a", "b", "c1 d", "c22 d"])}">{random_page(r, depth + 1)}</{tag}>')
+        elif x < 0.6:
+            out.append(f"<a href='x>{r.randint(0, 9)}'>{prose(r, 3)}</a>")
+        else:
+            out.append(f"<p>{prose(r, r.randint(1, 30))}</p>")
+    return "".join(out)
+
+
+def test_votes_and_winners_against_brute_force(spark):
+    r = random.Random(17)
+    pages = [(i, f"http://h{i % 5}.example/{i}", "<body>" + random_page(r) + "</body>") for i in range(80)]
+    total = {}
+    for _, url, page in pages:
+        b = Score()
+        b.feed(page)
+        assert he.scores(page) == b.scores
+        good = {p: s for p, s in b.scores.items() if s > 0}
+        for p, s in good.items():
+            own = total.setdefault(url.split("/")[2], {})
+            own[p] = own.get(p, 0) + Fraction(s, sum(good.values()))
+    got = {x.host: x.paths for x in he.winning_paths(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    for host, own in total.items():
+        best = max(own.values())
+        want = sorted((p for p in own if own[p] >= best * Fraction(he.RUNNER_UP)), key=lambda p: (-own[p], len(p), p))
+        assert got[host] == want
+    # a page of very many small containers votes for each of them
+    assert len(he.votes("".join(f"<div class=c{'x' * i}>a</div>" for i in range(1, 1500)))) == 1499
+
+
+def test_unusual_pages():
+    t = lambda page: he.extract(page, None)[0]
+    assert t("<body><form id=f><div class=x><p>Wrapped in a form</p><input><select><option>no</select><button>no</button></div></form>") == "Wrapped in a form"
+    assert t("<html><head><meta a><link b><title>no</title><div>The head was left open</div></html>") == "The head was left open"
+    assert "Text after it" in t("<body><div><nav>menu<p>Text after it, which is long enough to win</p></div></body>")
+    assert "Text after" in t("<body><div><button>go<p>Text after the button</p></div></body>")
+    assert t("<body><nav>menu</nav><div>Text</div></body>") == "Text"
+    assert t("<body><div>a<pre>one\n  two\n\nthree</pre>b\nc</div></body>") == "a\none\ntwo\nthree\nb c"
+    assert t("<p title=it's>one <b title='>'>two</b> isn't") == "one two isn't"
+    assert t('<div title="x>open quote</div>') == "open quote"
+
+
+def test_time_is_linear_in_the_page():
+    n = 1 << 20
+    for unit in ('<a "', '<a ="', "<a ='x\">", "<", "<!--", "<script>", "<script></scrip", "</p>", "<a '>", "<div class=a", "<a =" + " " * 999):
+        began = time.process_time()
+        he.extract(unit * (n // len(unit)), None)
+        assert time.process_time() - began < 2, unit
+    for unit in ("<div>", "<nav>", "<p>", "<ul><li>", "<table><tr><td>"):
+        he.extract(unit * 50_000, None)
+
+
 def test_broken_pages_end():
     for page in ("<" * 5000, "<div>" * 3000 + "x", "</p>" * 3000, "<p>" * 3000, "<!-- " * 500, "<script>" * 300, "<a href='" + "x" * 10_000, "a &#xfffffff; &bogus; b"):
         he.extract(page, None)
