@@ -53,7 +53,7 @@ def normalise(name: Column) -> Column:
     return F.translate(F.lower(name), "-_.", "")
 
 
-def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+def _ratios(a: pd.Series, b: pd.Series, least: float) -> pd.Series:
     # the matcher indexes its second sequence, so pairs with one b after another reuse it
     out, matcher = [], SequenceMatcher(None)
     last = None
@@ -65,13 +65,14 @@ def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
             matcher.set_seq2(y)
             last = y
         matcher.set_seq1(x)
-        out.append(matcher.ratio())
+        bound = min(matcher.real_quick_ratio(), matcher.quick_ratio()) if least else 1.0
+        out.append(bound if bound < least else matcher.ratio())
     return pd.Series(out, dtype="float64")
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """Ratio of the matching blocks of two names, in lower case; not symmetric."""
-    return F.pandas_udf(_ratios, T.DoubleType())(F.lower(a), F.lower(b))
+def name_similarity(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Ratio of the matching blocks of two names, in lower case; not symmetric. Below ``least`` only an upper bound that is below it too."""
+    return F.pandas_udf(lambda x, y: _ratios(x, y, least), T.DoubleType())(F.lower(a), F.lower(b))
 
 
 def jaccard(a: Column, b: Column) -> Column:

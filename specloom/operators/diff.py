@@ -6,7 +6,7 @@ by equi-joins (shared properties, normalised names), scored, and matched one to
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specloom.functions import names
@@ -32,9 +32,13 @@ def status(differs: Column) -> Column:
 def greedy(candidates: DataFrame, keys: list[str], old: str = "old", new: str = "new", score: str = "score") -> DataFrame:
     """One-to-one pairs: in order of ``old``, each takes its best ``new`` that is still free.
 
-    Of equal scores the smaller name wins. A group's candidates fold in one row, so a group is what one task holds;
-    groups are independent.
+    Of equal scores the smaller name wins. Within ``keys`` a group's candidates fold in one row, and groups are
+    independent. Without keys there is but one group, of any size, so it is matched by rounds of offers instead: every
+    old name offers to its best new one that hasn't turned it down, and each new one holds the first in order that has
+    come and turns down all later ones. Once no offer is turned down, the held ones are the same pairs.
     """
+    if not keys:
+        return _offers(candidates.select(F.col(old).alias("o"), F.col(new).alias("n"), F.col(score).alias("s"))).select(F.col("o").alias(old), F.col("n").alias(new))
     kind = dict(candidates.dtypes)
     ranked = candidates.groupBy(*keys, old).agg(F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(new).alias("n")))).alias("c"))
     group = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(old).alias("o"), F.col("c.n").alias("ns")))).alias("g"))
@@ -45,6 +49,18 @@ def greedy(candidates: DataFrame, keys: list[str], old: str = "old", new: str =
     return group.select(*keys, F.inline(fold)).withColumnsRenamed({"o": old, "n": new})
 
 
+def _offers(left: DataFrame) -> DataFrame:
+    """Pairs ``o, n`` by rounds of offers; each round is a checkpoint of the candidates that are left."""
+    left = cut(left)
+    while True:
+        offer = left.groupBy("o").agg(F.min(F.struct((-F.col("s")).alias("s"), "n"))["n"].alias("n"))
+        held = cut(offer.groupBy("n").agg(F.min("o").alias("first"), F.count("*").alias("offers")))
+        # whoever comes after the one that is held can't get it any more
+        if not held.where("offers > 1").limit(1).count():
+            return held.select(F.col("first").alias("o"), "n")
+        left = cut(left.join(held.select("n", "first"), "n", "left").where("first is null or o <= first").select("o", "n", "s"))
+
+
 def overlap_candidates(old: DataFrame, new: DataFrame, least: float) -> DataFrame:
     """Pairs of ``name, items`` rows by Jaccard similarity of at least ``least`` (above 0), of ``old, new, jaccard``.
 
@@ -79,7 +95,7 @@ def rename_properties(pairs: DataFrame) -> DataFrame:
     sig = [F.struct(*[F.col(f"{s}.{c}").alias(c) for c in names.SIGNATURE]) for s in ("o", "n")]
     gone = pairs.where("n is null").select("entity", F.col("name").alias("old"), sig[0].alias("sig"))
     came = pairs.where("o is null").select("entity", F.col("name").alias("new"), sig[1].alias("sig"))
-    same = gone.join(came, ["entity", "sig"]).withColumn("score", names.name_similarity(F.col("old"), F.col("new"))).where(F.col("score") >= PROPERTY_SCORE)
+    same = gone.join(came, ["entity", "sig"]).withColumn("score", names.name_similarity(F.col("old"), F.col("new"), PROPERTY_SCORE)).where(F.col("score") >= PROPERTY_SCORE)
     return greedy(same, ["entity"])
 
 
@@ -192,6 +208,13 @@ def diff_shallow(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return pairs.select(key, status(~F.col("o").eqNullSafe(F.col("n"))).alias("change")).where("change is not null")
 
 
-def summary(changes: DataFrame) -> DataFrame:
-    """Changes by kind and type, with totals."""
-    return changes.groupBy("kind", "change").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("entity")).alias("entities"))
+def summary(changes: DataFrame, shown: int = 20) -> DataFrame:
+    """Changes by kind and type: their number, and the first entities, ``shown`` of them.
+
+    The first ones are cut off before the shuffle (a limit by group), so no row or task holds all entities of a type.
+    """
+    counts = changes.groupBy("kind", "change").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("kind", "change").orderBy("entity"))
+    first = changes.select("kind", "change", "entity").withColumn("r", place).where(F.col("r") <= shown)
+    listed = first.groupBy("kind", "change").agg(F.sort_array(F.collect_list("entity")).alias("entities"))
+    return counts.join(listed, ["kind", "change"])

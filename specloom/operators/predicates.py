@@ -48,13 +48,18 @@ def violations(documents: DataFrame) -> DataFrame:
         ("no mime type", F.size("f.mime_types") > 0), ("missing predicates", F.col("f.predicates").isNotNull()))
     p = predicates(documents)
     op = F.get_json_object("condition", "$.op")
-    keys = F.coalesce(F.map_keys("test_vectors"), F.array().cast("array<string>"))
-    like = lambda pattern: F.exists(keys, lambda k: F.lower(k).rlike(pattern))
+    entries = F.coalesce(F.map_entries("test_vectors"), F.array().cast("array<struct<key:string,value:string>>"))
+
+    def some_vector(word: str, field: str) -> Column:
+        """Whether a vector's key has ``word`` in it, or its value the field; or there are no vectors at all."""
+        has = lambda v: F.coalesce(F.array_contains(F.json_object_keys(v), field), F.contains(v, F.lit(field)), F.lit(False))
+        return F.isnull("test_vectors") | F.exists(entries, lambda e: F.contains(e["key"], F.lit(word)) | has(e["value"]))
+
     own = _broken(
         p, F.coalesce("predicate_id", F.lit("?")), ("bad id", F.col("predicate_id").rlike(PREDICATE_ID)), ("no source rule", F.size("source_rules") > 0),
         ("bad source rule", F.forall("source_rules", lambda r: r.rlike(RULE_ID))), ("bad severity", F.col("severity").isin(*STRENGTHS)), ("missing title", F.col("title").isNotNull()),
-        ("missing description", F.col("description").isNotNull()), ("condition without op", op.isNotNull()), ("no passing vector", (F.size(keys) == 0) | like("pass|valid|conform|present|ok")),
-        ("no failing vector", (F.size(keys) == 0) | like("fail|invalid|missing|violat|absent|mismatch|non")))
+        ("missing description", F.col("description").isNotNull()), ("condition without op", op.isNotNull()), ("no passing vector", some_vector("passing", "expected_result")),
+        ("no failing vector", some_vector("fail", "expected_status")))
     twice = p.groupBy("doc", F.col("predicate_id").alias("subject")).agg(F.count("*").alias("n")).where("n > 1").select("doc", "subject", F.lit("duplicate id").alias("violation"))
     return top.unionByName(families).unionByName(own).unionByName(twice)
 
@@ -65,10 +70,35 @@ def dangling_rules(documents: DataFrame, rules: DataFrame) -> DataFrame:
     return named.join(rules.select("rule_id").distinct(), "rule_id", "left_anti").select("doc", "predicate_id", "rule_id")
 
 
+def status_codes(documents: DataFrame) -> DataFrame:
+    """Status codes that documents name, in conditions or as what a vector expects; ``doc, code``, each once.
+
+    All of a document's text is searched where it is at hand (``raw``), else conditions and vectors.
+    """
+    pattern = F.lit(r'"(?:status|expected_status)":\s*"([^"]+)"')
+    if "raw" in documents.columns:
+        texts = documents.select("doc", F.col("raw").alias("text"))
+    else:
+        texts = predicates(documents).select("doc", F.concat_ws(" ", "condition", F.array_join(F.map_values("test_vectors"), " ")).alias("text"))
+    return texts.select("doc", F.explode(F.regexp_extract_all("text", pattern, 1)).alias("code")).distinct()
+
+
+def dangling_codes(documents: DataFrame, codes: DataFrame, label_prefix: str | None = None) -> DataFrame:
+    """Named status codes that the graph (``code``) doesn't have; none where it has no codes at all.
+
+    A code without a full stop is no proper one, and one that begins with ``label_prefix`` is an assertion's label.
+    """
+    named = status_codes(documents).where(F.contains("code", F.lit(".")))
+    if label_prefix:
+        named = named.where(~F.startswith("code", F.lit(label_prefix)))
+    some = codes.select(F.lit(True).alias("__some")).limit(1)
+    return named.join(codes.select("code").distinct(), "code", "left_anti").join(some, how="cross").select("doc", "code")
+
+
 def delegations(documents: DataFrame) -> DataFrame:
-    """Whom predicates delegate to, anywhere in their conditions."""
-    texts = F.regexp_extract_all("condition", F.lit(r'"(?:predicate|predicate_id|target|to)"\s*:\s*"(PRED-[A-Z]+-\d{3})"'), 1)
-    return predicates(documents).where(F.col("condition").contains('"delegate"')).select("doc", "predicate_id", F.explode(texts).alias("target"))
+    """Whom predicates delegate to: the listed ones of a condition that is a delegation."""
+    listed = F.from_json(F.get_json_object("condition", "$.to_predicates"), "array<string>")
+    return predicates(documents).where(F.get_json_object("condition", "$.op") == "delegate").select("doc", "predicate_id", F.explode(listed).alias("target"))
 
 
 def dangling_delegations(documents: DataFrame) -> DataFrame:
@@ -81,7 +111,7 @@ def coverage(documents: DataFrame) -> DataFrame:
     """Predicates, rules and vectors of every document, and whether its summary says the same."""
     p = predicates(documents)
     rules = p.select("doc", F.explode("source_rules").alias("r")).groupBy("doc").agg(F.count_distinct("r").alias("rules_formalized"))
-    with_vectors = (F.size(F.coalesce("test_vectors", F.create_map().cast("map<string,string>"))) > 0).cast("double")
+    with_vectors = F.isnotnull("test_vectors").cast("double")
     counted = p.groupBy("doc").agg(F.count("*").alias("total_predicates"), F.avg(with_vectors).alias("vector_share"))
     said = documents.select("doc", F.col("d.coverage_summary.total_predicates").alias("said_predicates"), F.col("d.coverage_summary.rules_formalized").alias("said_rules"))
     return counted.join(rules, "doc", "left").join(said, "doc").select(
@@ -89,10 +119,42 @@ def coverage(documents: DataFrame) -> DataFrame:
         (F.col("total_predicates").eqNullSafe(F.col("said_predicates")) & F.col("rules_formalized").eqNullSafe(F.col("said_rules"))).alias("reconciled"))
 
 
+def _between(size: Column, c: dict[str, Any]) -> Column:
+    out = F.lit(True)
+    for key, test in (("min", size.__ge__), ("max", size.__le__), ("value", size.__eq__)):
+        if key in c:
+            out = out & test(c[key])
+    return out
+
+
+_COMPARE: dict[str, Callable[[Column, dict[str, Any]], Column]] = {
+    "exists": lambda v, c: v.isNotNull(),
+    "equals": lambda v, c: v.eqNullSafe(F.lit(c["value"])),
+    "not_equals": lambda v, c: v != F.lit(c["value"]),
+    "in": lambda v, c: v.isin(*c["values"]),
+    "not_in": lambda v, c: ~v.isin(*c["values"]),
+    "greater_than": lambda v, c: v > c["value"],
+    "at_least": lambda v, c: v >= c["value"],
+    "less_than": lambda v, c: v < c["value"],
+    "at_most": lambda v, c: v <= c["value"],
+    "matches": lambda v, c: v.rlike(c["pattern"]),
+    "contains": lambda v, c: F.array_contains(v, c["value"]) if c.get("of") == "array" else F.contains(v, F.lit(c["value"])),
+    "starts_with": lambda v, c: F.startswith(v, F.lit(c["value"])),
+    "ends_with": lambda v, c: F.endswith(v, F.lit(c["value"])),
+    "count": lambda v, c: v.isNotNull() & _between(F.size(v), c),
+}
+
+
 def compile_condition(condition: dict[str, Any] | str, field: Callable[[str], Column] = F.col, delegate: Callable[[str], Column] | None = None) -> Column:
     """A condition as one Boolean column, for any number of rows without Python at run time.
 
-    Operators are ``and``, ``or``, ``not``, ``exists``, ``equals`` and ``delegate``; ValueError names any other.
+    ``and``, ``or``, ``not`` and ``implies`` (``if``, ``then``) join conditions; ``delegate`` asks the predicates in
+    ``to_predicates``, all of which must hold. Of fields, ``exists``, ``equals``, ``not_equals``, ``in``, ``not_in``,
+    ``greater_than``, ``at_least``, ``less_than``, ``at_most``, ``matches`` (a regular expression), ``contains`` (text,
+    or an array with ``"of": "array"``), ``starts_with`` and ``ends_with`` compare the value, ``count`` an array's size with ``value``, or
+    ``min`` and ``max``, and ``all`` and ``any`` test the elements of an array by ``condition``, whose fields are the
+    element's; ``field`` left out there is the element. What compares a value that isn't there doesn't hold.
+    ValueError names any other operator.
     """
     c = json.loads(condition) if isinstance(condition, str) else condition
     op = c.get("op")
@@ -104,12 +166,18 @@ def compile_condition(condition: dict[str, Any] | str, field: Callable[[str], Co
         return out
     if op == "not":
         return ~compile_condition(c["condition"], field, delegate)
-    if op == "exists":
-        return field(c["field"]).isNotNull()
-    if op == "equals":
-        return field(c["field"]).eqNullSafe(F.lit(c["value"]))
+    if op == "implies":
+        return ~compile_condition(c["if"], field, delegate) | compile_condition(c["then"], field, delegate)
     if op == "delegate" and delegate is not None:
-        return delegate(c.get("predicate", c.get("target")))
+        out = F.lit(True)
+        for name in c["to_predicates"]:
+            out = out & delegate(name)
+        return out
+    if op in _COMPARE:
+        return F.coalesce(_COMPARE[op](field(c.get("field", "")), c), F.lit(False))
+    if op in ("all", "any"):
+        test = F.forall if op == "all" else F.exists
+        return F.coalesce(test(field(c["field"]), lambda x: compile_condition(c["condition"], lambda name: x[name] if name else x, delegate)), F.lit(False))
     raise ValueError(f"unknown condition operator {op!r}")
 
 

@@ -133,12 +133,13 @@ def context_terms(entities: DataFrame, properties: DataFrame, enums: DataFrame,
     spark = entities.sparkSession
     null = F.lit(None).cast("string")
     iri = lambda local: F.concat(F.lit(base), local)
+    place = lambda outer, inner: F.struct(outer.cast("bigint").alias("outer"), inner.cast("bigint").alias("inner"))
     fixed = [(i, k, base if k == "spec" else v) for i, (k, v) in enumerate(PREFIXES.items())] + [(len(PREFIXES), "@vocab", base)]
-    prefix = spark.createDataFrame(fixed, "ord bigint, term string, id string").select(F.lit(0).alias("section"), "ord", "term", "id", null.alias("type"), null.alias("container"))
+    prefix = spark.createDataFrame(fixed, "ord bigint, term string, id string").select(F.lit(0).alias("section"), place(F.col("ord"), F.lit(0)).alias("ord"), "term", "id", null.alias("type"), null.alias("container"))
     owner = entities.select(F.col("name").alias("entity"), F.col("ord").alias("eord"))
-    p = properties.join(owner, "entity").withColumn("o", F.col("eord") * 100_000 + F.col("ord"))
+    p = properties.join(owner, "entity").withColumn("o", place(F.col("eord"), F.col("ord")))
     member = iri(names.term_member_part(F.col("entity"), F.col("name")))
-    term = lambda section, df: df.select(F.lit(section).alias("section"), "ord", F.col("name").alias("term"), iri(names.term_part(F.col("name"))).alias("id"), F.lit("@id").alias("type"), null.alias("container"))
+    term = lambda section, df: df.select(F.lit(section).alias("section"), place(F.col("ord"), F.lit(0)).alias("ord"), F.col("name").alias("term"), iri(names.term_part(F.col("name"))).alias("id"), F.lit("@id").alias("type"), null.alias("container"))
     qualified = p.select(F.lit(2).alias("section"), F.col("o").alias("ord"), F.concat("entity", F.lit("."), "name").alias("term"), member.alias("id"), names.literal_map(names.LD_TYPE, F.col("type")).alias("type"), F.when(F.col("type") == "array", "@list").alias("container"))
     short = p.groupBy("name").agg(F.min("o").alias("ord"), F.min_by(member, "o").alias("id")).select(F.lit(3).alias("section"), "ord", F.col("name").alias("term"), "id", null.alias("type"), null.alias("container"))
     rows = prefix.unionByName(term(1, entities)).unionByName(qualified).unionByName(short).unionByName(term(4, enums))
@@ -153,8 +154,22 @@ def severity_order(c: Column) -> Column:
     return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), c), F.lit(0)), F.lit(99)).cast("int")
 
 
+def ordered_rules(rules: DataFrame) -> DataFrame:
+    """All rules with the places of their phase and severity, sorted for display. A sort by ranges, so a phase isn't one task's."""
+    phase = F.array_position(F.array(*[F.lit(p) for p in PHASES]), F.col("phase"))
+    placed = rules.withColumns({"phase_ord": phase, "severity_ord": severity_order(F.col("severity"))})
+    return placed.orderBy("phase_ord", "phase", "severity_ord", "ord", "rule_id")
+
+
+def ordered_codes(codes: DataFrame) -> DataFrame:
+    """All status codes by category and code, what is said of their use only where it says something."""
+    known = F.when(F.col("category").isin(*CATEGORIES), F.col("category")).otherwise("unknown")
+    usage = F.when(~F.col("url_usage").isin("", "(multiple)", "(not applicable)"), F.col("url_usage"))
+    return codes.withColumns({"category": known, "url_usage": usage}).orderBy("category", "code", "ord")
+
+
 def rules_by_phase(rules: DataFrame) -> DataFrame:
-    """Rules of every phase by severity, in the order they came; empty fields are NULL."""
+    """Rules of every phase by severity, in the order they came; empty fields are NULL. A row holds a phase: for the documents of a version; ``ordered_rules`` has no such rows."""
     some = lambda c: F.nullif(F.col(c), F.lit(""))
     row = F.struct(
         severity_order(F.col("severity")).alias("s"), "ord", "rule_id", "description", "severity", "phase", "spec_section", some("condition").alias("condition"), some("action").alias("action"),
@@ -165,11 +180,9 @@ def rules_by_phase(rules: DataFrame) -> DataFrame:
 
 
 def codes_by_category(codes: DataFrame) -> DataFrame:
-    """Status codes of every category by code."""
-    known = F.when(F.col("category").isin(*CATEGORIES), F.col("category")).otherwise("unknown")
-    usage = F.when(~F.col("url_usage").isin("", "(multiple)", "(not applicable)"), F.col("url_usage"))
+    """Status codes of every category by code; a row holds a category, for the documents of a version."""
     order = F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("category"))
-    grouped = codes.withColumn("category", known).groupBy("category").agg(F.sort_array(F.collect_list(F.struct("code", "ord", "meaning", usage.alias("url_usage")))).alias("codes"))
+    grouped = ordered_codes(codes).groupBy("category").agg(F.sort_array(F.collect_list(F.struct("code", "ord", "meaning", "url_usage"))).alias("codes"))
     return grouped.withColumn("category_ord", order)
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from specloom.plans import diff, graph, rdf, text
+from specloom.plans import artifacts, diff, graph, rdf, text
 
-MODULES = (text, graph, diff, rdf)
+MODULES = (text, graph, diff, rdf, artifacts)
 QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -30,7 +30,8 @@ def diff_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 def change_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Those changes by type."""
     c = diff.diff_rules(*_snapshots(spark, sf_dir)).withColumn("entity", F.col("entity").cast("bigint"))
-    return diff.summary(c).select("kind", "change", "n", F.array_join(F.slice("entities", 1, 20), ",").alias("first"))
+    totals = c.groupBy("change").agg(F.sum("entity").alias("total"), F.max("entity").alias("last"))
+    return diff.summary(c).join(totals, "change").select("kind", "change", "n", F.array_join("entities", ",").alias("first"), "total", "last")
 
 
 def _rules_sql(tail: str) -> str:
@@ -154,16 +155,16 @@ SELECT old, new FROM step WHERE new IS NOT NULL
 
 def rename_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and suppliers of the same nation by likeness of their names."""
-    c = table(spark, sf_dir, "customer").where("c_custkey < 300").select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("old"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("old"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("new"))
-    scored = c.join(s, "nation").withColumn("score", names.name_similarity(F.col("old"), F.col("new"))).where("score >= 0.6")
+    scored = c.join(s, "nation").withColumn("score", names.name_similarity(F.col("old"), F.col("new"), 0.6)).where("score >= 0.6")
     return diff.greedy(scored, ["nation"])
 
 
 QUERIES = {f.__name__: f for f in (diff_full, change_summary, diff_entities_props, diff_enums, diff_shallow, set_ops, rename_jaccard, rename_greedy, rename_fuzzy)}
 ORACLES = {
     "diff_full": _rules_sql("SELECT * FROM j WHERE change <> 'modified' OR details <> ''"),
-    "change_summary": _rules_sql("SELECT 'rule' AS kind, change, count(*) AS n, array_to_string(list_sort(list(entity))[1:20], ',') AS first FROM j WHERE change <> 'modified' OR details <> '' GROUP BY change"),
+    "change_summary": _rules_sql("SELECT 'rule' AS kind, change, count(*) AS n, array_to_string(list_sort(list(entity))[1:20], ',') AS first, sum(entity)::BIGINT AS total, max(entity) AS last FROM j WHERE change <> 'modified' OR details <> '' GROUP BY change"),
     "diff_entities_props": _PROPS_SQL, "diff_enums": _ENUMS_SQL,
     "diff_shallow": """WITH o AS (SELECT * FROM customer WHERE c_custkey % 8 <> 3), n AS (SELECT * REPLACE (CASE WHEN c_custkey % 6 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal) FROM customer WHERE c_custkey % 9 <> 1)
       SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN o.c_custkey IS NULL THEN 'added' WHEN n.c_custkey IS NULL THEN 'removed' ELSE 'modified' END AS change FROM o FULL JOIN n ON o.c_custkey = n.c_custkey

@@ -18,7 +18,7 @@ def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey < 200")
+    p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     kinds = ("string", "integer", "float", "boolean", "uri", "enum", "array", "map", "reference", "union")
     kind = F.element_at(F.array(*[F.lit(x) for x in kinds]), (k % 10 + 1).cast("int"))
@@ -69,24 +69,27 @@ def context_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def status_codes_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order states as codes by category."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 500")
+    o = table(spark, sf_dir, "orders")
     c = o.select(F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("code"), F.lit("m").alias("meaning"), F.when(F.col("o_orderkey") % 2 == 0, "(multiple)").otherwise("u").alias("url_usage"),
                  F.element_at(F.create_map(*[F.lit(x) for kv in {"O": "success", "F": "failure", "P": "odd"}.items() for x in kv]), F.col("o_orderstatus")).alias("category"))
-    g = rdf.codes_by_category(c)
-    return g.select("category", F.size("codes").cast("bigint").alias("n"), F.array_join(F.transform("codes", lambda x: F.concat_ws("/", x["code"], x["ord"], x["url_usage"])), ",").alias("codes"))
+    return rdf.ordered_codes(c).select("category", "code", "ord", "url_usage")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicate documents made of events: some ids, severities and conditions are broken."""
-    e = table(spark, sf_dir, "events").where("event_id < 3000")
+    e = table(spark, sf_dir, "events")
     k = F.col("event_id")
     doc = (F.col("user_id") % 10).cast("int")
-    vectors = F.when(k % 6 > 0, F.map_from_arrays(F.array(F.lit("pass_a"), F.when(k % 25 == 0, "other").otherwise("fail_a")), F.array(F.lit("1"), F.lit("2"))))
+    expected = F.concat(F.lit('{"expected_status": "'), F.when(k % 5 == 0, "plain").when(k % 5 == 1, "label.x").otherwise(F.concat(F.lit("code."), (k % 70).cast("string"))), F.lit('"}'))
+    pair = lambda a, b, x, y: F.map_from_arrays(F.array(F.lit(a), F.lit(b)), F.array(x, y))
+    vectors = F.when(k % 6 > 0, F.when(k % 4 == 0, pair("passing_a", "should_fail", F.lit("1"), F.lit("2"))).when(k % 4 == 1, pair("v", "w", F.lit('{"expected_result": null}'), expected))
+                     .when(k % 4 == 2, pair("invalid_a", "fail_b", F.lit('{"expected": "token"}'), F.lit("2"))).otherwise(pair("passing_x", "non_conforming", F.lit('{"result": 1}'), F.lit("{}"))))
     pred = F.struct(
         F.concat(F.lit("PRED-"), F.when(k % 50 == 0, F.col("event_type")).otherwise(F.upper("event_type")), F.lit("-"), F.lpad((k % 700).cast("string"), 3, "0")).alias("predicate_id"),
         F.when(k % 40 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("VAL-CONT-"), F.format_string("%04d", k % 90)))).alias("source_rules"),
         F.when(k % 30 == 0, "will").otherwise("shall").alias("severity"), F.when(k % 35 > 0, "t").alias("title"), F.lit("d").alias("description"),
-        F.when(k % 45 == 0, F.lit("{}")).when(k % 8 == 0, F.concat(F.lit('{"op":"delegate","predicate":"PRED-CLICK-'), F.lpad((k % 999).cast("string"), 3, "0"), F.lit('"}'))).otherwise("{\"op\":\"exists\"}").alias("condition"), vectors.alias("test_vectors"))
+        F.when(k % 45 == 0, F.lit("{}")).when(k % 8 == 0, F.concat(F.lit('{"op":"delegate","to_predicates":["PRED-CLICK-'), F.lpad((k % 999).cast("string"), 3, "0"), F.lit('", "PRED-NONE-001"]}')))
+        .when(k % 8 == 1, '{"op":"exists","target":"PRED-NONE-002","note":"delegate"}').otherwise('{"op":"exists"}').alias("condition"), vectors.alias("test_vectors"))
     made = e.groupBy(doc.alias("doc")).agg(F.collect_list(pred).alias("ps"))
     ps = F.col("ps")
     shape = f"struct<{predicates.SCHEMA}>"
@@ -100,7 +103,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PRED_SQL = """
-WITH p AS (SELECT user_id % 10 AS doc, event_id AS k, 'PRED-' || CASE WHEN event_id % 50 = 0 THEN event_type ELSE upper(event_type) END || '-' || lpad((event_id % 700)::VARCHAR, 3, '0') AS id, event_type FROM events WHERE event_id < 3000)
+WITH p AS (SELECT user_id % 10 AS doc, event_id AS k, 'PRED-' || CASE WHEN event_id % 50 = 0 THEN event_type ELSE upper(event_type) END || '-' || lpad((event_id % 700)::VARCHAR, 3, '0') AS id, event_type FROM events)
 """
 
 
@@ -114,7 +117,9 @@ def predicates_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _documents(spark, sf_dir)
     rules = table(spark, sf_dir, "nation").select(F.concat(F.lit("VAL-CONT-"), F.format_string("%04d", "n_nationkey")).alias("rule_id"))
     a = predicates.dangling_rules(d, rules).groupBy(F.lit("rule").alias("what"), "doc").agg(F.count("*").alias("n"))
-    return a.unionByName(predicates.dangling_delegations(d).groupBy(F.lit("delegate").alias("what"), "doc").agg(F.count("*").alias("n")))
+    codes = table(spark, sf_dir, "nation").select(F.concat(F.lit("code."), F.col("n_nationkey").cast("string")).alias("code"))
+    b = predicates.dangling_codes(d, codes, "label.").groupBy(F.lit("code").alias("what"), "doc").agg(F.count("*").alias("n"))
+    return a.unionByName(b).unionByName(predicates.dangling_delegations(d).groupBy(F.lit("delegate").alias("what"), "doc").agg(F.count("*").alias("n")))
 
 
 def predicates_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,8 +130,10 @@ def predicates_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CONDITIONS = {
     "PRED-LINE-001": {"op": "and", "conditions": [{"op": "equals", "field": "l_returnflag", "value": "R"}, {"op": "exists", "field": "l_shipdate"}]},
-    "PRED-LINE-002": {"op": "or", "conditions": [{"op": "delegate", "predicate": "PRED-LINE-001"}, {"op": "equals", "field": "l_linestatus", "value": "O"}]},
+    "PRED-LINE-002": {"op": "or", "conditions": [{"op": "delegate", "to_predicates": ["PRED-LINE-001"]}, {"op": "equals", "field": "l_linestatus", "value": "O"}]},
     "PRED-LINE-003": {"op": "not", "condition": {"op": "equals", "field": "l_linenumber", "value": 1}},
+    "PRED-LINE-004": {"op": "implies", "if": {"op": "in", "field": "l_returnflag", "values": ["A", "R"]}, "then": {"op": "greater_than", "field": "l_quantity", "value": 25}},
+    "PRED-LINE-005": {"op": "delegate", "to_predicates": ["PRED-LINE-002", "PRED-LINE-004"]},
 }
 
 
@@ -150,7 +157,7 @@ _SAFE = "translate(replace(replace({}, '<', ''), '>', ''), ' :/', '___')"
 _KINDS = "['string','integer','float','boolean','uri','enum','array','map','reference','union']"
 _PROP = f"""WITH p AS (SELECT p_brand AS e, p_partkey AS k, p_name || '-' || p_partkey AS name, ({_KINDS})[p_partkey % 10 + 1] AS t, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE '' END AS d, p_partkey % 2 = 0 AS req,
   (['1','0..1','0..*','1..*'])[p_size % 4 + 1] AS card, CASE WHEN p_partkey % 4 = 0 THEN p_type || ', z' END AS ev, CASE WHEN p_partkey % 20 < 10 THEN p_type ELSE '' END AS ref, CASE WHEN p_partkey % 20 < 10 THEN p_type ELSE 'string' END AS item,
-  p_partkey % 7 = 0 AS pat, p_partkey % 11 = 0 AS dep FROM part WHERE p_partkey < 200),
+  p_partkey % 7 = 0 AS pat, p_partkey % 11 = 0 AS dep FROM part),
 q AS (SELECT *, 'spec:' || p.e || '.' || translate(name, ' -', '__') AS s, t IN ('reference', 'map') OR (t = 'array' AND item <> 'string') AS obj FROM p)
 """
 ORACLES = {
@@ -177,8 +184,8 @@ ORACLES = {
       UNION SELECT one, 'rdf:type', 'owl:NamedIndividual', {_I} FROM x UNION SELECT one, 'rdf:type', s, {_I} FROM x UNION SELECT one, 'rdfs:label', t, {_lit(lang="en")} FROM x
       UNION SELECT node, 'rdf:first', one, {_I} FROM x WHERE NOT ext UNION SELECT node, 'rdf:rest', CASE WHEN i + 1 < n THEN rest ELSE 'rdf:nil' END, {_I} FROM x WHERE NOT ext
       UNION SELECT own, 'owl:oneOf', node, {_I} FROM x WHERE NOT ext AND i = 0 UNION SELECT s, 'owl:equivalentClass', own, {_I} FROM x WHERE NOT ext AND i = 0""",
-    "context_terms": f"""WITH p AS (SELECT p_brand AS e, p_partkey AS k, split_part(p_name || '-' || p_partkey, ' ', 1) AS name, ({_KINDS})[p_partkey % 10 + 1] AS t FROM part WHERE p_partkey < 200),
-      en AS (SELECT e, min(k) AS k FROM p GROUP BY e), f AS (SELECT p.*, en.k * 100000 + p.k AS o, '{rdf.BASE}' || replace(p.e, ' ', '_') || '.' || translate(name, ' :.-', '____') AS id FROM p JOIN en USING (e)
+    "context_terms": f"""WITH p AS (SELECT p_brand AS e, p_partkey AS k, split_part(p_name || '-' || p_partkey, ' ', 1) AS name, ({_KINDS})[p_partkey % 10 + 1] AS t FROM part),
+      en AS (SELECT e, min(k) AS k FROM p GROUP BY e), f AS (SELECT p.*, en.k * 10000000000 + p.k AS o, '{rdf.BASE}' || replace(p.e, ' ', '_') || '.' || translate(name, ' :.-', '____') AS id FROM p JOIN en USING (e)
         QUALIFY row_number() OVER (PARTITION BY p.e, name ORDER BY p.k) = 1),
       a AS (SELECT e AS term, '{rdf.BASE}' || e AS id, '@id' AS type, NULL::VARCHAR AS container, 1 AS section, 1 AS prio FROM en
         UNION ALL SELECT e || '.' || name, id, CASE t WHEN 'string' THEN 'xsd:string' WHEN 'integer' THEN 'xsd:integer' WHEN 'float' THEN 'xsd:decimal' WHEN 'boolean' THEN 'xsd:boolean' WHEN 'uri' THEN '@id' WHEN 'map' THEN '@id' WHEN 'reference' THEN '@id' END,
@@ -187,16 +194,17 @@ ORACLES = {
         UNION ALL SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}', NULL, NULL, 0, 2)" for k, v in [*rdf.PREFIXES.items(), ("@vocab", rdf.BASE)])})
         UNION ALL SELECT r_name, '{rdf.BASE}' || translate(r_name, ' :/', '___'), '@id', NULL, 4, 4 FROM region UNION ALL SELECT e, '{rdf.BASE}' || e, '@id', NULL, 4, 4 FROM en WHERE e LIKE '%3')
       SELECT term, id, type, container, section::INT AS section FROM a QUALIFY row_number() OVER (PARTITION BY term ORDER BY prio) = 1""",
-    "status_codes_grouped": """SELECT category, count(*) AS n, string_agg(concat_ws('/', code, k, CASE WHEN k % 2 = 1 THEN 'u' END), ',' ORDER BY code, k) AS codes FROM
-      (SELECT o_orderkey AS k, o_orderpriority AS code, CASE o_orderstatus WHEN 'O' THEN 'success' WHEN 'F' THEN 'failure' ELSE 'unknown' END AS category FROM orders WHERE o_orderkey < 500) GROUP BY category""",
+    "status_codes_grouped": """SELECT CASE o_orderstatus WHEN 'O' THEN 'success' WHEN 'F' THEN 'failure' ELSE 'unknown' END AS category, o_orderpriority AS code, o_orderkey AS ord, CASE WHEN o_orderkey % 2 = 1 THEN 'u' END AS url_usage FROM orders""",
     "predicates_contract": _PRED_SQL + """SELECT doc::INT AS doc, violation, count(*) AS n FROM (
       SELECT doc, 'bad id' AS violation FROM p WHERE k % 50 = 0 UNION ALL SELECT doc, 'no source rule' FROM p WHERE k % 40 = 0 UNION ALL SELECT doc, 'bad severity' FROM p WHERE k % 30 = 0 UNION ALL SELECT doc, 'missing title' FROM p WHERE k % 35 = 0
-      UNION ALL SELECT doc, 'condition without op' FROM p WHERE k % 45 = 0 UNION ALL SELECT doc, 'no failing vector' FROM p WHERE k % 25 = 0 AND k % 6 > 0
+      UNION ALL SELECT doc, 'condition without op' FROM p WHERE k % 45 = 0 UNION ALL SELECT doc, 'no failing vector' FROM p WHERE k % 4 = 3 AND k % 6 > 0 UNION ALL SELECT doc, 'no passing vector' FROM p WHERE k % 4 = 2 AND k % 6 > 0
       UNION ALL SELECT doc, 'duplicate id' FROM p GROUP BY doc, id HAVING count(*) > 1 UNION ALL SELECT 3, 'missing predicate_schema_version' UNION ALL SELECT 4, 'no mime type') GROUP BY ALL""",
     "predicates_references": _PRED_SQL + """SELECT 'rule' AS what, doc::INT AS doc, count(*) AS n FROM p WHERE k % 40 > 0 AND k % 90 NOT IN (SELECT n_nationkey FROM nation) GROUP BY doc
-      UNION ALL SELECT 'delegate', doc::INT, count(*) FROM p WHERE k % 8 = 0 AND k % 45 > 0 AND NOT EXISTS (SELECT 1 FROM p q WHERE q.doc = p.doc AND q.id = 'PRED-CLICK-' || lpad((p.k % 999)::VARCHAR, 3, '0')) GROUP BY doc""",
+      UNION ALL SELECT 'delegate', doc::INT, count(*) FILTER (NOT EXISTS (SELECT 1 FROM p q WHERE q.doc = p.doc AND q.id = 'PRED-CLICK-' || lpad((p.k % 999)::VARCHAR, 3, '0'))) + count(*) FROM p WHERE k % 8 = 0 AND k % 45 > 0 GROUP BY doc
+      UNION ALL SELECT 'code', doc::INT, count(DISTINCT k % 70) FROM p WHERE k % 6 > 0 AND k % 4 = 1 AND k % 5 > 1 AND k % 70 NOT IN (SELECT n_nationkey FROM nation) GROUP BY doc""",
     "predicates_coverage": _PRED_SQL + """SELECT doc::INT AS doc, count(*) AS total_predicates, count(DISTINCT CASE WHEN k % 40 > 0 THEN k % 90 END) AS rules_formalized, round(avg((k % 6 > 0)::INT), 9) AS vector_share, avg((k % 6 > 0)::INT) >= 0.8 AS enough_vectors,
       doc <> 5 AS reconciled FROM p GROUP BY doc""",
     "predicate_eval": """SELECT id AS predicate_id, ok, count(*) AS n FROM (SELECT unnest([{'id': 'PRED-LINE-001', 'ok': l_returnflag = 'R' AND l_shipdate IS NOT NULL}, {'id': 'PRED-LINE-002', 'ok': (l_returnflag = 'R' AND l_shipdate IS NOT NULL) OR l_linestatus = 'O'},
-      {'id': 'PRED-LINE-003', 'ok': l_linenumber <> 1}], recursive := true) FROM lineitem) GROUP BY ALL""",
+      {'id': 'PRED-LINE-003', 'ok': l_linenumber <> 1}, {'id': 'PRED-LINE-004', 'ok': l_returnflag NOT IN ('A', 'R') OR l_quantity > 25},
+      {'id': 'PRED-LINE-005', 'ok': ((l_returnflag = 'R' AND l_shipdate IS NOT NULL) OR l_linestatus = 'O') AND (l_returnflag NOT IN ('A', 'R') OR l_quantity > 25)}], recursive := true) FROM lineitem) GROUP BY ALL""",
 }

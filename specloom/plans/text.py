@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from specloom.functions import names, text
 from specloom.functions.lexicon import PROSE, RFC2119
 from specloom.operators import prose, rdf
+from specloom.schemas import SEVERITIES
 from specloom.session import table
 
 
@@ -51,10 +52,9 @@ def rules_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rules_by_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules of every phase in display order of severity; the first ids."""
+    """Rules of every phase in display order of severity."""
     r = prose.rules(_docs(spark, sf_dir), ["doc_id"], PROSE).withColumn("ord", F.col("doc_id") * 10_000_000_000 + F.col("ord"))
-    ids = F.transform(F.slice("rules", 1, 50), lambda x: F.concat_ws(":", x["severity"], x["rule_id"], x["ord"]))
-    return rdf.rules_by_phase(r).select("phase", F.size("rules").cast("bigint").alias("n"), F.array_join(ids, ",").alias("first"))
+    return rdf.ordered_rules(r).select("phase", "severity_ord", "severity", "ord", "rule_id")
 
 
 def phase_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,8 +156,8 @@ QUERIES = {f.__name__: f for f in (rules_extract, rules_summary, rules_by_phase,
 ORACLES = {
     "rules_extract": _RULES,
     "rules_summary": _SENTENCE + "SELECT phase, severity, count(*) AS n FROM numbered GROUP BY GROUPING SETS ((phase), (severity), ())",
-    "rules_by_phase": _SENTENCE + """SELECT phase, count(*) AS n, array_to_string(list(severity || ':VAL-' || upper(phase[1:4]) || '-' || printf('%04d', n) || ':' || (doc_id * 10000000000 + ord)
-      ORDER BY CASE severity WHEN 'must' THEN 0 WHEN 'should' THEN 4 ELSE 6 END, doc_id * 10000000000 + ord)[1:50], ',') AS first FROM numbered GROUP BY phase""",
+    "rules_by_phase": _SENTENCE + """SELECT phase, SEVERITY_ORD AS severity_ord, severity, doc_id * 10000000000 + ord AS ord, 'VAL-' || upper(phase[1:4]) || '-' || printf('%04d', n) AS rule_id FROM numbered""".replace(
+        "SEVERITY_ORD", "CASE severity " + " ".join(f"WHEN '{s}' THEN {i + 1}" for i, s in enumerate(SEVERITIES)) + " ELSE 99 END"),
     "phase_infer": f"SELECT role, {_case('role || chr(32) || text', PROSE.phases, PROSE.phase_default)} AS phase, count(*) AS n FROM conversations GROUP BY ALL",
     "entity_refs": rf"""SELECT p_partkey, array_to_string(list_concat(list_filter(t, lambda x: x[1:1] = lower(x[1:1]) OR contains(x, '.') OR contains(x, '_')), list_distinct(c)), ',') AS refs FROM (
       SELECT p_partkey, regexp_extract_all(said, '`([[:alpha:]][[:alnum:]_.-]*)`', 1) AS t, regexp_extract_all(said, '\b([[:upper:]][[:lower:]]+(?:[[:upper:]][[:lower:]]+)+)\b', 1) AS c FROM (SELECT p_partkey, {_SAID} AS said FROM part))""",
