@@ -1,7 +1,9 @@
 """Operator 8, quality rules by line labelling: a CRF marks lines as content or boilerplate, the share of content decides.
 
 Lines are described by their symbols, case, digits, repetitions and lengths. The field is trained here, on the lines
-of labelled documents: those of good ones count as content, those of bad ones as boilerplate.
+of labelled documents: those of good ones count as content, those of bad ones as boilerplate. As a label holds for a
+whole document, documents are also spliced, runs of lines of bad ones into good ones, so that the field sees both kinds
+of lines and the steps between them in one document, with the truth known for each line.
 """
 
 from __future__ import annotations
@@ -93,19 +95,43 @@ def describe(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return active.astype(np.int32), chars, bounds
 
 
+def _some_lines(text: str) -> list[str]:
+    return [line for line in text.split("\n") if line.strip(" \t\f\r")]
+
+
+def splice(good: list[str], bad: list[str]) -> tuple[list[str], list[list[int]]]:
+    """Documents made of a good and a bad one each, and the labels of their lines: the bad one's are first, last or in the middle.
+
+    Pairs are taken in the order given, and of the bad document the first half of the lines, one at least.
+    """
+    texts, labels = [], []
+    for k, (g, b) in enumerate(zip(good, bad)):
+        content, other = _some_lines(g), _some_lines(b)
+        other = other[: (len(other) + 1) // 2]
+        at = (0, len(content), len(content) // 2)[k % 3]
+        lines = content[:at] + other + content[at:]
+        if content and other:
+            texts.append("\n".join(lines))
+            labels.append([CONTENT] * at + [BOILERPLATE] * len(other) + [CONTENT] * (len(content) - at))
+    return texts, labels
+
+
 def train(texts: list[str], good: list[bool], rounds: int = 80) -> crf.Weights | None:
-    """The field of labelled documents; None where a class has no line."""
-    active, _, bounds = describe(pa.array(texts, pa.string()))
+    """The field of labelled documents and of what is spliced from them; None where a class has no line."""
+    _, _, bounds = describe(pa.array(texts, pa.string()))
     y = np.repeat(np.array(good, np.int64), np.diff(bounds))
     if not len(y) or y.min() == y.max():
         return None
-    return crf.train(active, y, bounds, FEATURES, 2, ridge=1.0, rounds=rounds)
+    mixed, labels = splice([t for t, q in zip(texts, good) if q], [t for t, q in zip(texts, good) if not q])
+    active, _, bounds = describe(pa.array([*texts, *mixed], pa.string()))
+    return crf.train(active, np.concatenate([y, *labels]).astype(np.int64), bounds, FEATURES, 2, ridge=1.0, rounds=rounds)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> crf.Weights | None:
     """Train on at most ``per_class`` labelled documents of either class, those of the smallest id hashes.
 
     A document labelled several times counts as bad if any label says so; NULL ids, labels and texts are left out.
+    Ties of the hashes fall to the smaller id.
     """
     ready(docs)
     votes = pick(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -145,6 +171,7 @@ def keep_content(docs: DataFrame, labels: DataFrame, min_share: float = MIN_SHAR
     """Documents whose share of content is at least ``min_share``, with it.
 
     NULL and empty texts have no content and go. Every row is judged alone, rows with NULL ids and repeated rows too.
+    Of equally good labellings of the lines the one with boilerplate first is taken.
     If the labelled documents give no field, all stay with a NULL share.
     """
     d = pick(docs, "doc_id", "text").select("doc_id", content_share(F.col("text"), fit(docs, labels)).alias("content_share"))
