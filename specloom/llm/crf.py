@@ -26,6 +26,12 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
+def _step(x: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """Log of ``exp(x) @ factor``, row by row."""
+    top = x.max(1, keepdims=True)
+    return top + np.log(np.exp(x - top) @ factor)
+
+
 def _order(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of the non-empty sequences, longest first, their numbers, and how many are longer than t."""
     length = np.diff(bounds)
@@ -67,14 +73,15 @@ def gradient(active: np.ndarray, y: np.ndarray, bounds: np.ndarray, w: Weights)
     e, (start, length, alive) = emissions(active, w), _order(bounds)
     labels = e.shape[1]
     fwd, bwd = np.empty_like(e), np.empty_like(e)
+    factor = np.exp(w.step)
     fwd[start] = e[start] + w.first
     for t in range(1, len(alive)):
         at = start[: alive[t]] + t
-        fwd[at] = _lse(fwd[at - 1][:, :, None] + w.step, 1) + e[at]
+        fwd[at] = _step(fwd[at - 1], factor) + e[at]
     bwd[start + length - 1] = w.last
     for t in range(len(alive) - 1, 0, -1):
         at = start[: alive[t]] + t
-        bwd[at - 1] = _lse(w.step + (e[at] + bwd[at])[:, None, :], 2)
+        bwd[at - 1] = _step(e[at] + bwd[at], factor.T)
     z = _lse(fwd[start + length - 1] + w.last, 1)
     row = np.zeros(len(e), np.int64)
     row[start] = np.arange(len(start))
@@ -85,7 +92,10 @@ def gradient(active: np.ndarray, y: np.ndarray, bounds: np.ndarray, w: Weights)
     of[:] = np.repeat(row[position], np.diff(np.append(position, len(e))))
     node = np.exp(fwd + bwd - z[of][:, None])
     inner = np.flatnonzero(~head)
-    pair = np.exp(fwd[inner - 1][:, :, None] + w.step + (e[inner] + bwd[inner])[:, None, :] - z[of[inner]][:, None, None]).sum(0)
+    before, after = fwd[inner - 1], e[inner] + bwd[inner]
+    tops = before.max(1, keepdims=True), after.max(1, keepdims=True)
+    scale = np.exp(tops[0] + tops[1] - z[of[inner]][:, None])
+    pair = (np.exp(before - tops[0]) * scale).T @ np.exp(after - tops[1]) * factor
     gold = np.zeros_like(node)
     gold[np.arange(len(e)), y] = 1
     diff = gold - node

@@ -130,6 +130,18 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 
 
+def templates_of(rows: DataFrame) -> dict[str, tuple[str, ...]]:
+    """Templates from a table of ``license`` and ``text``, those of a licence in order; NULL and wordless rows are left out.
+
+    The templates are held by every worker, as the automaton of them is.
+    """
+    out: dict[str, list[str]] = {}
+    for r in rows.select("license", "text").where("license is not null and text is not null").distinct().orderBy("license", "text").collect():
+        if len(words(pa.array([r.text])).hash):
+            out.setdefault(r.license, []).append(r.text)
+    return {k: tuple(v) for k, v in out.items()}
+
+
 class Span(NamedTuple):
     """Tokens ``start`` to ``end`` of a file that cover ``covered`` tokens of a template."""
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from specloom.llm import crf, kernel, licenses, pii, spans
 from specloom.llm import html_extract as he
-from tests_llm_util import edited, prose
+from tests_llm_util import edited, labelled_rows, prose
 
 
 # 7
@@ -153,7 +153,7 @@ def test_short_templates_and_whole_notices(make):
 # 4
 def test_pii_on_held_out_rows():
     w = pii.train(pii.labelled_table())
-    texts, want = zip(*map(pii.unmark, pii.labelled_table(300, seed=99)))
+    texts, want = zip(*map(pii.unmark, labelled_rows(300, seed=99)))
     got = pii.find(pa.array(texts), w)
     tp = fp = fn = 0
     for s, g in zip(want, got):
