@@ -113,10 +113,12 @@ class Index:
         return out
 
 
-def _items(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """The items' n-grams in order, in slices of at most ``SLICE`` n-grams."""
+def _items(benchmark: DataFrame, named: bool) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """The items' n-grams in order, in slices of at most ``SLICE`` n-grams; if not ``named``, items without an id too, as 0."""
     part, held = [], 0
-    rows = pick(benchmark, "item_id", "text").where("item_id is not null and text is not null").distinct().orderBy("item_id", "text")
+    rows = pick(benchmark, "item_id", "text").where("text is not null")
+    rows = rows.where("item_id is not null") if named else rows.fillna(0, ["item_id"])
+    rows = rows.distinct().orderBy("item_id", "text")
     for r in rows.toLocalIterator():
         h, _ = shingles(words(pa.array([r.text])), N, short=False)
         if not len(h):
@@ -140,9 +142,9 @@ def frequencies(docs: DataFrame, keys: np.ndarray) -> dict[int, int]:
             for _, part in chunks(as_string(batch["text"])):
                 h, bounds = shingles(words(part), N, short=False)
                 at, slot = lookup(h)
-                row = np.searchsorted(bounds, at, "right") - 1
-                pairs = np.unique(row * len(lookup.keys) + slot)
-                total += np.bincount(pairs % len(lookup.keys), minlength=len(lookup.keys))
+                if len(at):
+                    row = np.searchsorted(bounds, at, "right") - 1
+                    np.add.at(total, np.unique(row * len(lookup.keys) + slot) % len(lookup.keys), 1)
         some = np.flatnonzero(total)
         yield pa.record_batch({"h": pa.array(lookup.keys[some].view(np.int64)), "n": pa.array(total[some])})
 
@@ -150,12 +152,12 @@ def frequencies(docs: DataFrame, keys: np.ndarray) -> dict[int, int]:
     return {int(np.int64(r.h).view(U)): r.n for r in rows}
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> F.Column | None:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, named: bool = True) -> F.Column | None:
     """Column of the items contained in ``docs.text``; None if no item has n-grams."""
     ready(docs)
     texts = docs.select(F.col("text").cast("string").alias("text"))
     columns = []
-    for items in _items(benchmark):
+    for items in _items(benchmark, named):
         index = Index(items, frequencies(texts, np.unique(np.concatenate([h for _, h in items]))), threshold)
         columns.append(_udf(index)(F.col("text").cast("string")))
     return F.concat(*columns) if columns else None
@@ -185,8 +187,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those that contain an item; every row is judged by its own text, NULL texts stay."""
-    found = leaks(docs, benchmark, threshold)
+    """``docs`` without those that contain an item; every row is judged by its own text, NULL texts stay.
+
+    Items without an id count too; items of fewer than n words don't, as two words in a row prove nothing.
+    """
+    found = leaks(docs, benchmark, threshold, named=False)
     return docs if found is None else docs.where(F.size(found) == 0)
 
 

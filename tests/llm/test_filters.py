@@ -64,6 +64,7 @@ def test_leaks_in_odd_tables(spark, odd, make):
     assert [x.doc_id for x in dc.contaminated(odd, bench).collect()] == [4, 4]
     kept = dc.drop_contaminated(odd, bench)
     assert kept.columns == odd.columns and kept.count() == 5
+    assert dc.drop_contaminated(odd, items(spark, [(None, "tie one two three four"), (None, "some text of a row without")])).count() == 4
     assert dc.contaminated(make([]), bench).count() == 0 and dc.drop_contaminated(odd, items(spark, [])).count() == 7
 
 
