@@ -59,6 +59,9 @@ def main(argv: list[str] | None = None) -> int:
     d.add_argument("--output-dir", required=True)
     d.add_argument("--from", dest="old", required=True)
     d.add_argument("--to", dest="new", required=True)
+    web = sub.add_parser("serve", help="the catalogue over HTTP, for agents")
+    web.add_argument("--output-dir", required=True)
+    web.add_argument("--port", type=int, default=8000)
     sub.add_parser("list-versions", help="known versions and their dates")
     a = p.parse_args(argv)
     if a.command == "list-versions":
@@ -78,6 +81,13 @@ def main(argv: list[str] | None = None) -> int:
         versions = [a.version] if a.command == "generate" else [v.version for v in registry.list_versions()]
         return int(bool(generate(a.spec_source, versions, a.output_dir, not a.no_checkout)))
     catalog = api.Catalog(_session(), a.output_dir)
+    if a.command == "serve":
+        from specloom.serve import server
+
+        with server(catalog, a.port) as web:
+            print(f"Serving {a.output_dir} at http://127.0.0.1:{web.server_port}/mcp")
+            web.serve_forever()
+        return 0
     try:
         if a.command == "diff":
             document = catalog.diff(a.old, a.new)

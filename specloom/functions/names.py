@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,20 +55,16 @@ def normalise(name: Column) -> Column:
 
 
 def _ratios(a: pd.Series, b: pd.Series, least: float) -> pd.Series:
-    # the matcher indexes its second sequence, so pairs with one b after another reuse it
-    out, matcher = [], SequenceMatcher(None)
-    last = None
-    for x, y in zip(a, b):
-        if x is None or y is None:
-            out.append(None)
-            continue
-        if y != last:
-            matcher.set_seq2(y)
-            last = y
-        matcher.set_seq1(x)
+    # the matcher indexes its second sequence, so pairs are taken in the order of that one
+    out, matcher = np.full(len(a), np.nan), SequenceMatcher(None)
+    last, first, second = None, a.tolist(), b.tolist()
+    for i in sorted((i for i in range(len(a)) if first[i] is not None and second[i] is not None), key=second.__getitem__):
+        if second[i] != last:
+            matcher.set_seq2(last := second[i])
+        matcher.set_seq1(first[i])
         bound = min(matcher.real_quick_ratio(), matcher.quick_ratio()) if least else 1.0
-        out.append(bound if bound < least else matcher.ratio())
-    return pd.Series(out, dtype="float64")
+        out[i] = bound if bound < least else matcher.ratio()
+    return pd.Series(out).where(~np.isnan(out), None).astype("float64")
 
 
 def name_similarity(a: Column, b: Column, least: float = 0.0) -> Column:

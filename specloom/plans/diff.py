@@ -154,11 +154,12 @@ SELECT old, new FROM step WHERE new IS NOT NULL
 
 
 def rename_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and suppliers of the same nation by likeness of their names."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("old"))
-    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("new"))
-    scored = c.join(s, "nation").withColumn("score", names.name_similarity(F.col("old"), F.col("new"), 0.6)).where("score >= 0.6")
-    return diff.greedy(scored, ["nation"])
+    """Customers and suppliers of the same nation and balance, to a thousand, by likeness of their names."""
+    level = lambda c: F.floor(F.col(c) / 1000).alias("level")
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), level("c_acctbal"), F.col("c_name").alias("old"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), level("s_acctbal"), F.col("s_name").alias("new"))
+    scored = c.join(s, ["nation", "level"]).withColumn("score", names.name_similarity(F.col("old"), F.col("new"), 0.6)).where("score >= 0.6")
+    return diff.greedy(scored, ["nation", "level"])
 
 
 QUERIES = {f.__name__: f for f in (diff_full, change_summary, diff_entities_props, diff_enums, diff_shallow, set_ops, rename_jaccard, rename_greedy, rename_fuzzy)}

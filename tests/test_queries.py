@@ -1,6 +1,7 @@
 """Every query beside its DuckDB counterpart, on the smallest tables."""
 
 import os
+from difflib import SequenceMatcher
 
 import duckdb
 import pytest
@@ -40,6 +41,21 @@ def test_query(spark, duck, name):
     assert sorted(tuple(shown(x[c]) for c in order) for x in rows) == want
 
 
+def test_fuzzy_query(spark, duck):
+    """The query that SQL can't express, beside plain loops."""
+    people = duck.execute("SELECT c_nationkey, floor(c_acctbal / 1000)::BIGINT, c_name, 0 FROM customer UNION ALL SELECT s_nationkey, floor(s_acctbal / 1000)::BIGINT, s_name, 1 FROM supplier").fetchall()
+    want = set()
+    for key in {p[:2] for p in people}:
+        used = set()
+        for old in sorted(p[2] for p in people if p[:2] == key and not p[3]):
+            free = sorted((-SequenceMatcher(None, old.lower(), p[2].lower()).ratio(), p[2]) for p in people if p[:2] == key and p[3] and p[2] not in used)
+            if free and -free[0][0] >= 0.6:
+                used.add(free[0][1])
+                want.add((*key, old, free[0][1]))
+    got = catalogue.QUERIES["rename_fuzzy"](spark, SF).select("nation", "level", "old", "new")
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
