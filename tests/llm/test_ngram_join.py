@@ -153,3 +153,53 @@ def test_sketch_estimates_similarity():
     a, b = x[:2000], x[1000:]
     s = nj.sketch(np.concatenate([a, b]), np.array([0, 2000, 4000]))
     assert abs((s[0] == s[1]).mean() - 1 / 3) < 0.2
+
+
+def linked(docs, spark_docs):
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    got = sorted((x.doc_id, x.class_id, x.n_links) for x in nj.links(spark_docs).collect())
+    assert got == sorted(c.execute(nj._LINKS_SQL).fetchall())
+    return {x[0]: x[1:] for x in got}
+
+
+def test_no_link_is_lost_that_sketches_lose(spark, make):
+    r = random.Random(1)
+    pairs = []
+    while len(pairs) < 3:  # at the threshold, with fewer common min-hashes than candidates need
+        w = [word(r) + str(i) for i in range(122)]
+        a, b = " ".join(w[:92]), " ".join(w[30:])
+        h, bounds = kernel.distinct(*kernel.shingles(kernel.words(pa.array([a, b])), nj.N))
+        s = nj.sketch(h, bounds)
+        assert len(set(h.tolist())) == 120 and len(h) == 180
+        if (s[0] == s[1]).sum() < nj.least_overlap():
+            pairs.append((a, b))
+    texts = [t for p in pairs for t in p] + [prose(r, 80) for _ in range(5)]
+    assert linked(list(enumerate(texts)), make(texts)) == {**{i: (i - i % 2, 1) for i in range(6)}, **{i: (i, 0) for i in range(6, 11)}}
+
+
+def test_links_of_copies_and_of_ids_with_several_texts(spark, make, monkeypatch):
+    monkeypatch.setattr(nj, "RANGE", 1 << 10)  # many ranges of hashes
+    r = random.Random(21)
+    t, u = prose(r, 60), prose(r, 90)
+    near = edited(r, t, 0.05)
+    docs = [(1, t), (5, t), (1, near), (7, near), (1, t), (8, u), (8, prose(r, 50)), (9, edited(r, u, 0.05)), (9, u), (10, prose(r, 70)), (11, ""), (12, None), (None, t), (13, "one"), (14, "One!")]
+    got = linked(docs, make(docs))
+    # 1 has 5 and 7 as links of either text, and no links to itself
+    assert got[1] == (1, 4) and got[5] == (1, 3) and got[7] == (1, 3) and got[8] == (8, 2) and got[10] == (10, 0) and got[11] == (11, 0) and got[12] == (12, 0) and got[14] == (13, 1)
+    pairs = {(x.a, x.b) for x in nj.jaccard_pairs(make(docs), all_pairs=True, exact=True).collect()}
+    assert pairs == {(1, 5), (1, 7), (5, 7), (8, 9), (13, 14)}
+
+
+def test_links_against_the_plain_join(spark, make, monkeypatch):
+    monkeypatch.setattr(nj, "RANGE", 1 << 12)
+    monkeypatch.setattr(nj, "GROUP", 5)
+    r = random.Random(22)
+    texts, passage = [], prose(r, 40)
+    for _ in range(40):
+        base = prose(r, r.choice([1, 3, 5, 12, 40, 120, 300]))
+        texts += [base, *(edited(r, base, r.choice([0, 0.01, 0.05, 0.1, 0.13, 0.2])) for _ in range(r.choice([0, 1, 2, 6])))]
+        texts += [prose(r, r.choice([20, 60, 150])) + " " + passage] * (r.random() < 0.4)
+    got = linked(list(enumerate(texts)), make(texts))
+    assert sum(n for _, n in got.values()) > 100
