@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,12 +89,8 @@ def struct_type(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
-def among(keys: DataFrame) -> Callable[..., F.Column]:
-    """A test of columns against the rows of ``keys``, of the same types: true for all that are among them and for few others.
-
-    Two bits a key in a table that goes to all workers; it stands before a join so that rows without a partner aren't
-    shuffled. ``keys`` should be a checkpoint.
-    """
+def _filter(keys: DataFrame) -> tuple[int, np.ndarray]:
+    """Two bits for each row of ``keys`` in a table of a power of two of bits, and that power; ``keys`` should be a checkpoint."""
     low, high = FILTER_BITS
     bits = min(high, max(low, (8 * keys.count()).bit_length()))
     x = F.xxhash64(*keys.columns)
@@ -101,6 +98,16 @@ def among(keys: DataFrame) -> Callable[..., F.Column]:
     words = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("m")).toArrow()  # at most 2 ** (bits - 6)
     table = np.zeros(1 << (bits - 6), np.uint64)
     table[words["w"].to_numpy()] = words["m"].to_numpy().view(np.uint64)
+    return bits, table
+
+
+def among(keys: DataFrame) -> Callable[..., F.Column]:
+    """A test of columns against the rows of ``keys``, of the same types: true for all that are among them and for few others.
+
+    Two bits a key in a table that goes to all workers; it stands before a join so that rows without a partner aren't
+    shuffled. ``keys`` should be a checkpoint.
+    """
+    bits, table = _filter(keys)
 
     @arrow_udf("boolean")
     def hit(x: pa.Array) -> pa.Array:
@@ -113,11 +120,40 @@ def among(keys: DataFrame) -> Callable[..., F.Column]:
     return lambda *columns: hit(F.xxhash64(*columns))
 
 
+def parted(df: DataFrame, keys: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose columns are among the rows of ``keys``, of the same types, and few others; and the rest.
+
+    The test of ``among`` without Python: its table is the one row of a broadcast, so that a stage with a Python kernel
+    needs no second worker for each task, nor buffers for one.
+    """
+    bits, table = _filter(keys)
+    name = f"__bits_{uuid.uuid4().hex}"
+    row = F.broadcast(df.sparkSession.createDataFrame(pa.table({name: pa.ListArray.from_arrays(pa.array([0, len(table)], pa.int32()), pa.array(table.view(np.int64)))})))
+    x = F.xxhash64(*columns)
+    is_set = lambda p: F.getbit(F.get(name, F.shiftright(p, 6).cast("int")), p.bitwiseAND(63).cast("int")) == 1
+    hit = is_set(F.shiftrightunsigned(x, 64 - bits)) & is_set(x.bitwiseAND((1 << bits) - 1))
+    return df.join(row, hit, "left_semi"), df.join(row, hit, "left_anti")
+
+
 def lacking(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
     """Rows of ``df`` whose columns (not NULL) are not among the rows of ``keys``; only those that may be are shuffled."""
     names = [f"__key_{uuid.uuid4().hex}" for _ in columns]
     keys = keys.toDF(*names)
-    maybe = among(keys)(*columns)
-    met = df.where(maybe)
+    met, others = parted(df, keys, *columns)
     rest = met.join(keys, [met[c] == keys[k] for c, k in zip(columns, names)], "left_anti")
-    return df.where(~F.coalesce(maybe, F.lit(False))).unionByName(rest)
+    return others.unionByName(rest)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; at its end memory that is free goes back to the system, as idle Python workers keep it otherwise."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return lean

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import among, discard, lacking, pick, ready, scratch
+from specloom.llm.common import among, discard, lacking, parted, pick, ready, scratch, trimmed
 from specloom.llm.kernel import U, as_string, chunks, distinct, mix, shingles, words
 from specloom.session import table
 
@@ -47,6 +47,8 @@ RANGE = 8 << 20
 QUERY_TOKENS = 1 << 14
 #: n-grams of the sets that are compared at once in an opened group.
 CELLS = 1 << 23
+#: Pairs of a query and a member, or of a query's token and a member, that a worker holds at once; more are counted in slices.
+HELD = 1 << 18
 
 _SEEDS = np.random.default_rng(7).integers(0, 2**63, TOKENS, dtype=U) * U(2) + U(1)
 
@@ -71,6 +73,16 @@ def sets(arr: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield at, *distinct(*shingles(words(part), N))
 
 
+def _postings(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all sets, sorted; the numbers of the sets that have them, hash by hash; and each hash's range of these."""
+    flat = np.concatenate(sets).view(U)
+    by = np.argsort(flat)
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])[by]
+    flat = flat[by]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    return flat[first], row, np.append(first, len(flat))
+
+
 def _ranges(number: int):
     """n-grams of each batch of texts by range of their hashes, 32 bits of each and its text's place; and the batch's ids and sizes."""
 
@@ -79,16 +91,20 @@ def _ranges(number: int):
         width = (1 << 64) // number + 1
         parts = (b.slice(at, 1 << 16) for b in batches for at in range(0, b.num_rows, 1 << 16))
         for src, batch in enumerate(parts, task):
-            found = [(h, bounds) for _, h, bounds in sets(batch["text"])]
-            h = np.concatenate([x for x, _ in found])
-            size = np.concatenate([np.diff(x) for _, x in found])
-            g = h // U(width)
-            # of a range's hashes, those of 32 bits; equal hashes stay equal, and few others become so
-            low = ((h - g * U(width)) >> U(max(0, (width - 1).bit_length() - 32))).astype(np.uint32)
-            at = np.repeat(np.arange(len(size), dtype=np.uint16), size)
-            g = g.astype(np.uint16 if number <= 1 << 16 else np.int64)
+            found, size = [], np.zeros(0, np.int64)
+            for _, h, bounds in sets(batch["text"]):  # no chunk's whole hashes stay
+                many = np.diff(bounds)
+                g = h // U(width)
+                # of a range's hashes, those of 32 bits; equal hashes stay equal, and few others become so
+                low = ((h - g * U(width)) >> U(max(0, (width - 1).bit_length() - 32))).astype(np.uint32)
+                at = np.repeat(np.arange(len(size), len(size) + len(many)).astype(np.uint16), many)
+                found.append((g.astype(np.uint16 if number <= 1 << 16 else np.int64), low, at))
+                size = np.append(size, many)
+            g, low, at = (np.concatenate(x) for x in zip(*found))
+            del found
             by = np.argsort(g, kind="stable")
             low, at, ends = low[by], at[by], np.searchsorted(g[by], np.arange(number + 1))
+            del by, g
             some = np.flatnonzero(np.diff(ends))
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
             yield pa.record_batch(
@@ -122,7 +138,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if part:
             low = np.concatenate([x for _, x, _ in part])
             by = np.argsort(low)
-            same = low[by[1:]] == low[by[:-1]]
+            low = low[by]
+            same = low[1:] == low[:-1]
             twice = np.zeros(len(low), bool)
             twice[by[1:][same]] = True
             twice[by[:-1][same]] = True
@@ -156,13 +173,13 @@ def with_partners(d: DataFrame, threshold: float) -> DataFrame:
     """``d`` without texts that can't reach ``threshold`` with any other, as too few of their n-grams occur elsewhere; some of these stay."""
     taken = d.select(F.sum(F.octet_length("text").cast("bigint"))).head()[0] or 0
     live = (
-        d.mapInArrow(_ranges(max(2, taken // RANGE)), "g long, src long, is_ids boolean, what binary, of binary")
+        d.mapInArrow(trimmed(_ranges(max(2, taken // RANGE))), "g long, src long, is_ids boolean, what binary, of binary")
         .repartition("g").sortWithinPartitions("g")
-        .mapInArrow(_repeated, "src long, is_ids boolean, what binary, of binary")
+        .mapInArrow(trimmed(_repeated), "src long, is_ids boolean, what binary, of binary")
         .repartition("src").sortWithinPartitions("src", F.desc("is_ids"))
-        .mapInArrow(_live(threshold), "doc_id long")
+        .mapInArrow(trimmed(_live(threshold)), "doc_id long")
     ).checkpoint()
-    return d.where(among(live)("doc_id"))
+    return parted(d, live, "doc_id")[0]
 
 
 def _sketches(threshold: float, exact: bool):
@@ -229,8 +246,13 @@ def _open(threshold: float, exact: bool):
         hit &= opened[row]
         slot, row = slot[hit], row[hit]
         many = at[slot + 1] - at[slot]
-        member = posting[np.repeat(at[slot] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())] if len(slot) else slot
-        both = np.bincount(np.repeat(row, many) * len(m[0]) + member, minlength=len(q) * len(m[0])).reshape(len(q), -1) if len(slot) else np.zeros((len(q), len(m[0])), int)
+        total, both, begin = np.cumsum(many), np.zeros((len(q), len(m[0])), np.int64), 0
+        while begin < len(slot):
+            end = max(begin + 1, int(np.searchsorted(total, total[begin] - many[begin] + HELD, "right")))
+            s, k, top, last = slot[begin:end], many[begin:end], row[begin], row[end - 1] + 1
+            member = posting[np.repeat(at[s] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())]
+            both[top:last] += np.bincount(np.repeat(row[begin:end] - top, k) * len(m[0]) + member, minlength=(last - top) * len(m[0])).reshape(last - top, -1)
+            begin = end
         ok = (both >= np.maximum(least[:, None], m[3])) & (cid[:, None] < m[0]) & (np.minimum(n[:, None], m[2]) >= threshold * np.maximum(n[:, None], m[2]) - 1e-9)
         either = n[:, None] + m[2] - both
         if exact:
@@ -243,17 +265,13 @@ def _open(threshold: float, exact: bool):
         for g, members, queries in _grouped(batches, ("cid", "doc", "n", "least", "ts")):
             if not members:
                 continue
-            flat = np.concatenate([np.asarray(x[4].values) for x in members]).view(U)
-            row = np.repeat(np.arange(len(members)), [len(x[4].values) for x in members])
-            union, code = np.unique(flat, return_inverse=True)
-            by = np.argsort(code, kind="stable")
-            posting, at = row[by], np.searchsorted(code[by], np.arange(len(union) + 1))
+            union, posting, at = _postings([np.asarray(x[4].values) for x in members])
             m = [np.array([x[i] for x in members]) for i in range(4)]
             held, some = 0, []
             for x in itertools.chain(members, queries):  # members are queries of their own group
                 some.append(x)
                 held += len(x[4].values)
-                if held >= QUERY_TOKENS:
+                if held >= QUERY_TOKENS or len(some) * len(members) >= HELD:
                     out = compare(g, union, posting, at, m, some)
                     held, some = 0, []
                     if out is not None:
@@ -351,21 +369,21 @@ def _found(docs: DataFrame, threshold: float, exact: bool, spanning: bool) -> tu
     folder = scratch(spark)
     shared = SHARED if exact else 1
     d = pick(docs, "doc_id", "text").where("doc_id is not null and text is not null")
-    kept = (with_partners(d, threshold) if exact else d).mapInArrow(_sketches(threshold, exact), "doc_id long, n int, set_hash long, set_hash2 long, least int, tokens array<long>")
+    kept = (with_partners(d, threshold) if exact else d).mapInArrow(trimmed(_sketches(threshold, exact)), "doc_id long, n int, set_hash long, set_hash2 long, least int, tokens array<long>")
     kept.withColumn("cid", F.monotonically_increasing_id()).write.parquet(folder)
     sketches = spark.read.parquet(folder)
     same = ("n", "set_hash", "set_hash2")
     # a class is known by the row of its smallest id
     classes = sketches.groupBy(*same).agg(F.min(F.struct("doc_id", "cid")).alias("rep"), F.count("*").alias("rows"))
     several = classes.where("rows > 1").select(*same, "rep").checkpoint()
-    twice = sketches.where(among(several.select("set_hash"))("set_hash")).select("doc_id", "cid", *same).join(several, [*same])
+    twice = parted(sketches, several.select("set_hash"), "set_hash")[0].select("doc_id", "cid", *same).join(several, [*same])
     others = twice.where("cid <> rep.cid").select("doc_id", "cid", "rep", "n").checkpoint()
     own = lacking(sketches, others.select("cid"), "cid")
 
     # tokens that at least two classes have, with the number that do
     df = own.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1").checkpoint()
     held = own.select("cid", F.explode("tokens").alias("token"))
-    common = held.where(among(df.select("token"))("token")).join(df, "token")
+    common = parted(held, df.select("token"), "token")[0].join(df, "token")
     # rarest first, tokens of one class alone before all of them
     listed = common.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     facts = own.select("cid", F.col("doc_id").alias("doc"), "n", "least", "set_hash")
@@ -388,7 +406,7 @@ def _found(docs: DataFrame, threshold: float, exact: bool, spanning: bool) -> tu
     )
     member = ranked.select("g", F.lit(False).alias("is_query"), "cid", "doc", "n", "least", "ts")
     query = hits.join(ranked.select("cid", "doc", "n", "least", "ts"), "cid").select("g", F.lit(True).alias("is_query"), "cid", "doc", "n", "least", "ts")
-    opened = member.unionByName(query).repartition("g").sortWithinPartitions("g", "is_query", "cid").mapInArrow(_open(threshold, exact), "g long, q long, c long, both long, either long")
+    opened = member.unionByName(query).repartition("g").sortWithinPartitions("g", "is_query", "cid").mapInArrow(trimmed(_open(threshold, exact)), "g long, q long, c long, both long, either long")
     if exact and not spanning:
         ids = sketches.select("cid", "doc_id")
         close = opened.select(F.col("q").alias("ca"), F.col("c").alias("cb"), "both", "either")

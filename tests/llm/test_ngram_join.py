@@ -1,4 +1,6 @@
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from specloom.llm import kernel
 from specloom.llm import ngram_join as nj
+from specloom.llm.common import lacking
 from tests_llm_util import edited, prose, word
 
 
@@ -203,3 +206,64 @@ def test_links_against_the_plain_join(spark, make, monkeypatch):
         texts += [prose(r, r.choice([20, 60, 150])) + " " + passage] * (r.random() < 0.4)
     got = linked(list(enumerate(texts)), make(texts))
     assert sum(n for _, n in got.values()) > 100
+
+
+def peak_mb(run):
+    """Result, and the most MB that Python and numpy held besides what was there."""
+    tracemalloc.start()
+    out = run()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return out, peak
+
+
+def opened_group(members, queries):
+    rows = [(False, c, t) for c, t in members] + [(True, c, t) for c, t in queries]
+    sets, n = [np.sort(t).view(np.int64) for *_, t in rows], [len(t) for *_, t in rows]
+    cid = pa.array([c for _, c, _ in rows], pa.int64())
+    ts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(sets)))
+    return pa.record_batch({"g": pa.array(np.zeros(len(rows), np.int64)), "is_query": pa.array([q for q, _, _ in rows]), "cid": cid, "doc": cid, "n": pa.array(n, pa.int32()), "least": pa.array([-(-k // 2) for k in n], pa.int32()), "ts": ts})
+
+
+def test_opened_group_is_compared_in_little_memory():
+    rng = np.random.default_rng(4)
+    tokens = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    group = opened_group([(1000 + i, tokens) for i in range(nj.GROUP)], [(i, tokens) for i in range(900)] + [(900 + i, tokens[:1]) for i in range(50)])
+    pairs, peak = peak_mb(lambda: sum(b.num_rows for b in nj._open(nj.THRESHOLD, True)(iter([group]))))
+    assert pairs == nj.GROUP * (nj.GROUP - 1) // 2 + 900 * nj.GROUP
+    assert peak < 50
+
+
+def test_opened_group_in_slices(monkeypatch):
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    some = lambda: rng.choice(pool, rng.integers(1, 50), replace=False)
+    members, queries = [(100 + i, some()) for i in range(30)], [(i, some()) for i in range(80)]
+    want = set()
+    for q, x in members + queries:
+        for c, y in members:
+            both, either = len(set(x) & set(y)), len(set(x) | set(y))
+            if q < c and both / either >= nj.THRESHOLD:
+                want.add((q, c, both, either))
+    for held in (nj.HELD, 50, 1):
+        monkeypatch.setattr(nj, "HELD", held)
+        got = [tuple(r.values())[1:] for b in nj._open(nj.THRESHOLD, True)(iter([opened_group(members, queries)])) for r in b.to_pylist()]
+        assert set(got) == want and len(got) == len(want) > 50
+
+
+def test_ranges_of_a_batch_take_little_memory(monkeypatch):
+    monkeypatch.setattr(nj, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    rng = np.random.default_rng(6)
+    texts = pa.array([" ".join(map(str, rng.integers(0, 10**5, 700).tolist())) for _ in range(2000)])
+    batch = pa.record_batch({"doc_id": pa.array(np.arange(2000)), "text": texts})
+    parts, peak = peak_mb(lambda: list(nj._ranges(64)(iter([batch]))))
+    assert sum(len(x) for x in parts[0]["what"].to_pylist()[:-1]) == 4 * sum(len(h) for _, h, _ in nj.sets(texts))
+    assert peak < 60
+
+
+def test_key_filter_needs_no_python_worker(spark):
+    d = spark.createDataFrame([(i, str(i)) for i in range(3000)] + [(None, "none")], "k bigint, v string")
+    keys = spark.range(0, 3000, 7).selectExpr("id as k").checkpoint()
+    rest = lacking(d, keys, "k")
+    assert "Python" not in rest._jdf.queryExecution().executedPlan().toString()
+    assert sorted(str(r.k) for r in rest.collect()) == sorted([str(i) for i in range(3000) if i % 7] + ["None"])
