@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import among, discard, lacking, parted, pick, ready, scratch, trimmed
+from specloom.llm.common import discard, lacking, parted, pick, ready, scratch, trimmed
 from specloom.llm.kernel import U, as_string, chunks, distinct, mix, shingles, words
 from specloom.session import table
 
@@ -49,6 +49,8 @@ QUERY_TOKENS = 1 << 14
 CELLS = 1 << 23
 #: Pairs of a query and a member, or of a query's token and a member, that a worker holds at once; more are counted in slices.
 HELD = 1 << 18
+#: Bytes of n-gram sets in a batch that goes to opened groups.
+SENT = 1 << 22
 
 _SEEDS = np.random.default_rng(7).integers(0, 2**63, TOKENS, dtype=U) * U(2) + U(1)
 
@@ -285,19 +287,32 @@ def _open(threshold: float, exact: bool):
 
 def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each group that a text goes to, with its n-gram set."""
+
+    def record(out: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch(
+            {
+                **{c: pa.array([t[c] for t, _ in out], kind) for c, kind in (("g", pa.int64()), ("is_query", pa.bool_()), ("cid", pa.int64()), ("doc", pa.int64()), ("wanted", pa.list_(pa.int64())))},
+                "grams": pa.array([x for _, x in out], pa.binary()),
+            }
+        )
+
     for batch in batches:
         for at, h, bounds in sets(batch["text"]):
             raw = h.tobytes()
             total = np.concatenate([[U(0)], np.cumsum(h)])
             own = (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64).tolist()
-            out = [(t, raw[a * 8 : b * 8]) for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) for t in batch["targets"][at + i].as_py() if t["set_hash"] == own[i]]
+            out, held = [], 0
+            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                grams = raw[a * 8 : b * 8]  # one for all groups that the text goes to
+                for t in batch["targets"][at + i].as_py():
+                    if t["set_hash"] == own[i]:
+                        out.append((t, grams))
+                        held += len(grams)
+                        if held >= SENT:
+                            yield record(out)
+                            out, held = [], 0
             if out:
-                yield pa.record_batch(
-                    {
-                        **{c: pa.array([t[c] for t, _ in out], kind) for c, kind in (("g", pa.int64()), ("is_query", pa.bool_()), ("cid", pa.int64()), ("doc", pa.int64()), ("wanted", pa.list_(pa.int64())))},
-                        "grams": pa.array([x for _, x in out], pa.binary()),
-                    }
-                )
+                yield record(out)
 
 
 def _verify(threshold: float, spanning: bool):
@@ -308,17 +323,13 @@ def _verify(threshold: float, spanning: bool):
         held = {c: (doc, g) for c, doc, g in members}
         ids, grams = {c: i for i, c in enumerate(held)}, [g for _, g in held.values()]
         docs = [doc for doc, _ in held.values()]
-        flat = np.concatenate(grams)
-        vocabulary, code = np.unique(flat, return_inverse=True)
+        vocabulary, posting, first = _postings(grams)
         size = np.array([len(g) for g in grams])
-        row = np.repeat(np.arange(len(ids)), size)
         if len(ids) * len(vocabulary) <= CELLS:
-            matrix = np.zeros((len(ids), len(vocabulary)), np.float32)
-            matrix[row, code] = 1
+            matrix = np.zeros((len(ids), len(vocabulary)), np.uint8)
+            matrix[posting, np.repeat(np.arange(len(vocabulary)), np.diff(first))] = 1
         else:
             matrix = None
-            by = np.argsort(code, kind="stable")
-            posting, first = row[by], np.searchsorted(code[by], np.arange(len(vocabulary) + 1))
 
         def top(c: int) -> int:
             while root.setdefault(c, c) != c:
@@ -331,7 +342,7 @@ def _verify(threshold: float, spanning: bool):
             slot = np.minimum(np.searchsorted(vocabulary, g), len(vocabulary) - 1)
             slot = slot[vocabulary[slot] == g]
             if matrix is not None:
-                both = matrix[to][:, slot].sum(1) if len(to) < 8 else matrix[:, slot].sum(1)[to]
+                both = matrix[to][:, slot].sum(1, dtype=np.int64) if len(to) < 8 else matrix[:, slot].sum(1, dtype=np.int64)[to]
             else:
                 both = np.bincount(np.concatenate([posting[a:b] for a, b in zip(first[slot], first[slot + 1])] or [np.zeros(0, int)]), minlength=len(ids))[to]
             either = len(g) + size[to] - both
@@ -424,10 +435,10 @@ def _found(docs: DataFrame, threshold: float, exact: bool, spanning: bool) -> tu
     ).checkpoint()
     discard(spark, folder)
     found = (
-        d.where(among(targets.select("doc"))("doc_id")).join(targets, d["doc_id"] == targets["doc"]).select("text", "targets")
-        .mapInArrow(_blobs, "g long, is_query boolean, cid long, doc long, wanted array<long>, grams binary")
+        parted(d, targets.select("doc"), "doc_id")[0].join(targets, d["doc_id"] == targets["doc"]).select("text", "targets")
+        .mapInArrow(trimmed(_blobs), "g long, is_query boolean, cid long, doc long, wanted array<long>, grams binary")
         .repartition("g").sortWithinPartitions("g", "is_query", "cid")
-        .mapInArrow(_verify(threshold, spanning), "a long, b long, both long, either long, ca long, cb long")
+        .mapInArrow(trimmed(_verify(threshold, spanning)), "a long, b long, both long, either long, ca long, cb long")
     )
     return found, others
 

@@ -267,3 +267,36 @@ def test_key_filter_needs_no_python_worker(spark):
     rest = lacking(d, keys, "k")
     assert "Python" not in rest._jdf.queryExecution().executedPlan().toString()
     assert sorted(str(r.k) for r in rest.collect()) == sorted([str(i) for i in range(3000) if i % 7] + ["None"])
+
+
+def test_sets_go_to_opened_groups_in_small_batches():
+    rng = np.random.default_rng(7)
+    text = " ".join(map(str, rng.integers(0, 10**6, 20_000).tolist()))
+    (_, h, _), = nj.sets(pa.array([text]))
+    own = int(h.sum(dtype=np.uint64).view(np.int64))
+    targets = [{"set_hash": own, "g": g, "is_query": g % 2 == 0, "cid": 5, "doc": 1, "wanted": [g]} for g in range(200)]
+    kind = pa.list_(pa.struct([("set_hash", pa.int64()), ("g", pa.int64()), ("is_query", pa.bool_()), ("cid", pa.int64()), ("doc", pa.int64()), ("wanted", pa.list_(pa.int64()))]))
+    batch = pa.record_batch({"text": pa.array([text]), "targets": pa.array([targets], kind)})
+    rows, most = [], 0
+    for b in nj._blobs(iter([batch])):
+        most = max(most, b.nbytes)
+        rows += [(r["g"], r["wanted"], len(r["grams"])) for r in b.to_pylist()]
+    assert rows == [(g, [g], 8 * len(h)) for g in range(200)]
+    assert most < 8e6
+
+
+def test_verification_takes_little_memory():
+    rng = np.random.default_rng(8)
+    vocabulary = np.sort(rng.integers(0, 2**63, 16_000, dtype=np.uint64))
+    sets = [np.sort(rng.choice(vocabulary, 12_000, replace=False)) for _ in range(500)]
+    rows = [(False, 1000 + i, x, []) for i, x in enumerate(sets)] + [(True, i, sets[i], [1000 + j for j in range(500)]) for i in range(3)]
+    cid = pa.array([r[1] for r in rows], pa.int64())
+    batch = pa.record_batch({"g": pa.array(np.zeros(len(rows), np.int64)), "is_query": pa.array([r[0] for r in rows]), "cid": cid, "doc": cid, "grams": pa.array([r[2].tobytes() for r in rows], pa.binary()), "wanted": pa.array([r[3] for r in rows], pa.list_(pa.int64()))})
+    del rows
+    out, peak = peak_mb(lambda: [r for b in nj._verify(nj.THRESHOLD, False)(iter([batch])) for r in b.to_pylist()])
+    assert len(out) == 3 * 500
+    for i in range(3):
+        for j in (0, 1, i, 499):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            assert {"a": i, "b": 1000 + j, "both": both, "either": 24_000 - both, "ca": i, "cb": 1000 + j} in out
+    assert peak < 250
