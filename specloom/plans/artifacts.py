@@ -32,6 +32,15 @@ def _by_kind(k: Column, texts: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*[_text(t) for t in texts]), (k % len(texts) + 1).cast("int"))
 
 
+#: A file has the fields of so many keys at most, so that no text grows with the table: a larger one is more files.
+PER_FILE = 1000
+
+
+def _file(k: Column) -> Column:
+    """Number of the file that a part's field is in."""
+    return F.floor(k / PER_FILE).alias("nr")
+
+
 #: CDDL of a field, what it parses to (type, required, cardinality, reference, item, pattern, least length).
 _CDDL = (
     ('"f<k>": tstr', "string", True, "1", "", "", "", None), ('? "f<k>": uint', "integer", False, "0..1", "", "", "", None), ('"f<k>": [* other-map]', "array", True, "0..*", "", "OtherMap", "", None),
@@ -75,17 +84,23 @@ _SCHEMAS = (
 )
 
 
-def _json_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """A document with a root, a definition of every brand with a property for each part, one of alternatives alone, and one that is no object."""
+def _json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document with a root, a definition of alternatives alone and one that is no object; and files of definitions, each of some parts' brands with a property for every part."""
     p = table(spark, sf_dir, "part").withColumn("k", F.col("p_partkey"))
-    made = p.select("p_brand", "k", F.concat(F.lit('"f'), F.col("k").cast("string"), F.lit('": '), _by_kind(F.col("k"), tuple(s[0] for s in _SCHEMAS))).alias("s"))
+    made = p.select("p_brand", "k", _file(F.col("k")), F.concat(F.lit('"f'), F.col("k").cast("string"), F.lit('": '), _by_kind(F.col("k"), tuple(s[0] for s in _SCHEMAS))).alias("s"))
     name = F.concat(F.lit('"f'), F.col("k").cast("string"), F.lit('"'))
-    defs = made.groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("k", "s")))["s"].alias("s"), F.collect_list(F.when(F.col("k") % 3 == 0, name)).alias("r"))
+    defs = made.groupBy("nr", "p_brand").agg(F.sort_array(F.collect_list(F.struct("k", "s")))["s"].alias("s"), F.collect_list(F.when(F.col("k") % 3 == 0, name)).alias("r"))
     one = F.concat(F.lit('"'), F.translate("p_brand", "#", ""), F.lit('": {"type": "object", "properties": {'), F.array_join("s", ", "), F.lit('}, "required": ['), F.array_join("r", ", "), F.lit("]}"))
-    doc = defs.agg(F.array_join(F.sort_array(F.collect_list(one)), ", ").alias("d")).select(
+    files = defs.groupBy("nr").agg(F.array_join(F.sort_array(F.collect_list(one)), ", ").alias("d")).select(
+        _version(), F.concat(F.lit("s"), F.col("nr").cast("string"), F.lit(".json")).alias("file"), F.concat(F.lit('{"definitions": {'), "d", F.lit("}}")).alias("text"))
+    doc = spark.range(1).select(
         _version(), F.lit("s.json").alias("file"),
-        F.concat(F.lit('{"title": "The Doc", "type": "object", "properties": {"top": {"$ref": "#/definitions/Either"}}, "definitions": {'), "d", F.lit(', "Either": {"anyOf": [{"$ref": "#/definitions/Brand11"}, {"$ref": "#/x/Other"}]}, "Plain": {"type": "string"}}}')).alias("text"))
-    return json_schema.tables(doc)
+        F.lit('{"title": "The Doc", "type": "object", "properties": {"top": {"$ref": "#/definitions/Either"}}, "definitions": {"Either": {"anyOf": [{"$ref": "#/definitions/Brand11"}, {"$ref": "#/x/Other"}]}, "Plain": {"type": "string"}}}').alias("text"))
+    return doc.unionByName(files)
+
+
+def _json_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return json_schema.tables(_json_files(spark, sf_dir))
 
 
 def json_schema_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
