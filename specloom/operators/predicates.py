@@ -1,4 +1,8 @@
-"""Conformance predicates: the document's contract, its coverage, and conditions as columns."""
+"""Conformance predicates: the document's contract, its coverage, and conditions as columns.
+
+A document is a row of ``doc`` and ``d``. One of any size may come in pieces, rows of the same ``doc`` that have some of
+its predicates each and say the same of the document and its families otherwise.
+"""
 
 from __future__ import annotations
 
@@ -46,6 +50,8 @@ def violations(documents: DataFrame) -> DataFrame:
     families = _broken(
         fam, F.col("family"), ("missing description", F.col("f.description").isNotNull()), ("missing binding_mechanism", F.col("f.binding_mechanism").isNotNull()),
         ("no mime type", F.size("f.mime_types") > 0), ("missing predicates", F.col("f.predicates").isNotNull()))
+    # every piece of a document says them again
+    once = top.unionByName(families).distinct()
     p = predicates(documents)
     op = F.get_json_object("condition", "$.op")
     entries = F.coalesce(F.map_entries("test_vectors"), F.array().cast("array<struct<key:string,value:string>>"))
@@ -61,7 +67,7 @@ def violations(documents: DataFrame) -> DataFrame:
         ("missing description", F.col("description").isNotNull()), ("condition without op", op.isNotNull()), ("no passing vector", some_vector("passing", "expected_result")),
         ("no failing vector", some_vector("fail", "expected_status")))
     twice = p.groupBy("doc", F.col("predicate_id").alias("subject")).agg(F.count("*").alias("n")).where("n > 1").select("doc", "subject", F.lit("duplicate id").alias("violation"))
-    return top.unionByName(families).unionByName(own).unionByName(twice)
+    return once.unionByName(own).unionByName(twice)
 
 
 def dangling_rules(documents: DataFrame, rules: DataFrame) -> DataFrame:
@@ -113,7 +119,7 @@ def coverage(documents: DataFrame) -> DataFrame:
     rules = p.select("doc", F.explode("source_rules").alias("r")).groupBy("doc").agg(F.count_distinct("r").alias("rules_formalized"))
     with_vectors = F.isnotnull("test_vectors").cast("double")
     counted = p.groupBy("doc").agg(F.count("*").alias("total_predicates"), F.avg(with_vectors).alias("vector_share"))
-    said = documents.select("doc", F.col("d.coverage_summary.total_predicates").alias("said_predicates"), F.col("d.coverage_summary.rules_formalized").alias("said_rules"))
+    said = documents.select("doc", F.col("d.coverage_summary.total_predicates").alias("said_predicates"), F.col("d.coverage_summary.rules_formalized").alias("said_rules")).distinct()
     return counted.join(rules, "doc", "left").join(said, "doc").select(
         "doc", "total_predicates", "rules_formalized", "vector_share", (F.col("vector_share") >= 0.8).alias("enough_vectors"),
         (F.col("total_predicates").eqNullSafe(F.col("said_predicates")) & F.col("rules_formalized").eqNullSafe(F.col("said_rules"))).alias("reconciled"))

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from specloom.plans import artifacts, catalogue
+from specloom.plans import artifacts, catalogue, rdf
 
 BASE = "/root/testdata/sf0.001"
 
@@ -49,3 +49,10 @@ def test_json_files_stay_small(spark, grown, name):
     d = grown(part=30)
     assert longest(artifacts._json_files(spark, d)) < 1.2 * longest(artifacts._json_files(spark, grown(part=10))) < 200_000
     agrees(spark, d, name)
+
+
+@pytest.mark.parametrize("name", ["predicates_contract", "predicates_references", "predicates_coverage"])
+def test_predicate_documents_come_in_pieces(spark, grown, name):
+    d = grown(events=30)
+    assert rdf._documents(spark, d).selectExpr("max(size(d.format_families['image'].predicates)) AS n").first().n <= rdf.PER_PIECE / 5
+    agrees(spark, d, name)
