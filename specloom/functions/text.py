@@ -65,9 +65,17 @@ def sentences(paragraph: Column) -> Column:
     return F.filter(F.transform(F.split(paragraph, r"(?<=[!.?])\s+(?=\p{Upper})"), strip), lambda s: s != "")
 
 
+#: Characters before a table that say what it is about.
+CONTEXT = 300
+
+
+def context(before: Column) -> Column:
+    return F.right(before, F.lit(CONTEXT))
+
+
 def category(before: Column) -> Column:
     """Outcome that the 300 characters before a table speak of."""
-    return ladder(F.right(before, F.lit(300)), (("failure", r"\bfailure\b"), ("informational", r"\binformational\b"), ("success", r"\bsuccess\b")), "unknown")
+    return ladder(context(before), (("failure", r"\bfailure\b"), ("informational", r"\binformational\b"), ("success", r"\bsuccess\b")), "unknown")
 
 
 def skipped(paragraph: Column, lexicon: Lexicon = RFC2119) -> Column:

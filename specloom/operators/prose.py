@@ -78,12 +78,17 @@ def status_codes(docs: DataFrame, keys: list[str]) -> DataFrame:
     delimiter = r"(?m)^\|={3,}"
     # pieces of text between delimiters: odd ones are tables, if another delimiter follows
     pieces = docs.select(*keys, F.split("text", delimiter).alias("piece"), F.regexp_extract_all("text", F.lit(delimiter), 0).alias("mark"))
-    tables = pieces.select(*keys, "piece", "mark", F.posexplode("piece").alias("table_ord", "body")).where("table_ord % 2 = 1 and table_ord < size(piece) - 1")
-    # the context reaches back over earlier tables, with their delimiters
-    before = F.concat_ws("", F.transform(F.slice("piece", 1, F.col("table_ord")), lambda p, i: F.concat(p, F.when(i < F.col("table_ord") - 1, F.element_at("mark", i + 1)).otherwise(""))))
+    # the context reaches back over earlier tables, with their delimiters; these have four characters at least, so it
+    # is within so many pieces, and no table's row has the whole document
+    back = text.CONTEXT // 4 + 1
+    piece = lambda j, end: F.concat(F.get("piece", j), F.when(j < end - 1, F.get("mark", j)).otherwise(""))
+    before = lambda end: text.context(F.array_join(F.transform(F.sequence(F.greatest(end - back, F.lit(0)), end - 1), lambda j: piece(j, end)), ""))
+    is_table = lambda i: (i % 2 == 1) & (i < F.size("piece") - 1)
+    placed = F.transform("piece", lambda p, i: F.when(is_table(i), F.struct(p.alias("body"), before(i).alias("before"))))
+    tables = pieces.select(*keys, F.posexplode(placed).alias("table_ord", "t")).where("t is not null").select(*keys, "table_ord", "t.body", "t.before")
     row = r"(?m)^[|]`?(\p{Alpha}[\p{Alnum}._-]*)`?\s*[|]\s*(.+?)\s*[|]\s*(.+?)\s*$"
     cells = F.arrays_zip(*[F.regexp_extract_all("body", F.lit(row), k).alias(n) for k, n in ((1, "code"), (2, "meaning"), (3, "url_usage"))])
-    found = tables.select(*keys, "table_ord", text.category(before).alias("category"), F.posexplode(cells).alias("row_ord", "c"))
+    found = tables.select(*keys, "table_ord", text.category(F.col("before")).alias("category"), F.posexplode(cells).alias("row_ord", "c"))
     return found.where(~F.lower("c.code").isin("value", "code")).select(
         *keys, (F.col("table_ord").cast("bigint") * 100_000 + F.col("row_ord")).alias("ord"), "c.code",
         text.link_labels(text.strip(F.col("c.meaning"))).alias("meaning"), text.link_labels(text.strip(F.col("c.url_usage"))).alias("url_usage"), "category",

@@ -1,8 +1,11 @@
 """Queries over tables of another size than the given ones: nothing in them grows with the table, and results stay those of the SQL."""
 
+import re
+
 import duckdb
 import pytest
 
+from specloom.operators import prose
 from specloom.plans import artifacts, catalogue, rdf
 
 BASE = "/root/testdata/sf0.001"
@@ -56,3 +59,30 @@ def test_predicate_documents_come_in_pieces(spark, grown, name):
     d = grown(events=30)
     assert rdf._documents(spark, d).selectExpr("max(size(d.format_families['image'].predicates)) AS n").first().n <= rdf.PER_PIECE / 5
     agrees(spark, d, name)
+
+
+def test_status_tables_hold_no_copies_of_the_document(spark):
+    """A table's row has some text before it, not all; what that says is the same."""
+    mark = "|==="
+    table = "|`c.{}` |m |u\n"
+    one = "success" + "".join(f"\n{mark}\n{table.format(i)}" for i in range(400))  # 200 tables, each other part between two
+    words = "".join(f"x {w} " + "y" * n + f"\n{mark}\n{table.format(w + str(n))}{mark}\n" for w in ("failure", "success") for n in (0, 150, 285, 300))
+    bare = "failure\n" + f"{mark}\n" * (2 * 74) + f"{mark}\n{table.format('z')}{mark}\n"
+    docs = spark.createDataFrame([(0, one), (1, words), (2, bare), (3, None), (4, ""), (5, mark)], "k int, text string")
+
+    def plain(t):
+        pieces, marks = re.split(r"(?m)^\|={3,}", t), re.findall(r"(?m)^\|={3,}", t)
+        for i in range(1, len(pieces) - 1, 2):
+            ctx = "".join(p + m for p, m in zip(pieces[:i], [*marks[: i - 1], ""]))[-300:].lower()
+            for c in re.findall(r"`(\S+)`", pieces[i]):
+                yield c, next((w for w in ("failure", "informational", "success") if re.search(rf"\b{w}\b", ctx)), "unknown")
+
+    got = prose.status_codes(docs, ["k"])
+    assert sorted((r.k, r.code, r.category) for r in got.collect()) == sorted((k, *x) for k, t in ((0, one), (1, words), (2, bare)) for x in plain(t))
+
+
+def test_status_tables_of_a_long_document(spark):
+    """10 000 tables in a document: copies of it would be 3 GB."""
+    long = "".join(f"of success {i:0200}\n|===\n|`c.{i}` |m |u\n|===\n" for i in range(10_000))
+    docs = spark.createDataFrame([(0, long)], "k int, text string")
+    assert [tuple(r) for r in prose.status_codes(docs, ["k"]).groupBy("category").count().collect()] == [("success", 10_000)]
