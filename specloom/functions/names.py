@@ -72,6 +72,63 @@ def name_similarity(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.pandas_udf(lambda x, y: _ratios(x, y, least), T.DoubleType())(F.lower(a), F.lower(b))
 
 
+class Alike:
+    """The likest of some names that are still free, as :func:`name_similarity` has it (P31); names come in lower case and in order.
+
+    Matching blocks are a common subsequence, so the longest one bounds the ratio from above. It is found for all free
+    names at once, a bit of a word for each character of the name asked for; only those that it leaves are matched.
+    """
+
+    def __init__(self, found: list[str]) -> None:
+        self.names, self.free = found, np.arange(len(found))
+        self.sizes = np.array([len(n) for n in found], dtype=np.int64)
+        letters = {c: i for i, c in enumerate(sorted(set("".join(found))), 1)}
+        self.letters, self.codes = letters, np.zeros((int(self.sizes.max(initial=0)), len(found)), dtype=np.int32)
+        for i, n in enumerate(found):
+            self.codes[: len(n), i] = [letters[c] for c in n]
+
+    def bounds(self, name: str) -> np.ndarray:
+        """No less than the ratio of each free name."""
+        sizes, n = self.sizes, len(name)
+        if n > 64:
+            common = np.minimum(sizes, n)
+        else:
+            masks = np.zeros(len(self.letters) + 1, dtype=np.uint64)
+            for j, c in enumerate(name):
+                if c in self.letters:
+                    masks[self.letters[c]] |= np.uint64(1 << j)
+            rest = np.full(len(sizes), np.uint64(2**64 - 1))
+            for row in self.codes:
+                both = rest & masks[row]
+                rest = (rest + both) | (rest - both)
+            own = ~rest & np.uint64((1 << n) - 1)
+            common = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=1, dtype=np.int64)
+        total = sizes + n
+        return np.where(total == 0, 1.0, 2.0 * common / np.maximum(total, 1))
+
+    def take(self, name: str, least: float) -> int | None:
+        """Place of the likest free name, the first of equal ones, which isn't free any more; None if none is like by ``least``."""
+        bounds = self.bounds(name)
+        best, at = least, None
+        some = np.flatnonzero(bounds >= least)
+        matcher = SequenceMatcher(None)
+        matcher.set_seq1(name)
+        for i in some[np.argsort(-bounds[some], kind="stable")].tolist():
+            if bounds[i] < best:
+                break
+            if at is not None and bounds[i] == best and i > at:
+                continue
+            matcher.set_seq2(self.names[self.free[i]])
+            ratio = matcher.ratio()
+            if ratio > best or (ratio == best and (at is None or i < at)):
+                best, at = ratio, i
+        if at is None:
+            return None
+        taken = int(self.free[at])
+        self.free, self.sizes, self.codes = np.delete(self.free, at), np.delete(self.sizes, at), np.delete(self.codes, at, axis=1)
+        return taken
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets as arrays; two empty ones are alike, an empty and another aren't."""
     union = F.size(F.array_union(a, b))

@@ -6,6 +6,9 @@ by equi-joins (shared properties, normalised names), scored, and matched one to
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +64,37 @@ def _offers(left: DataFrame) -> DataFrame:
         left = cut(left.join(held.select("n", "first"), "n", "left").where("first is null or o <= first").select("o", "n", "s"))
 
 
+def greedy_alike(old: DataFrame, new: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """``greedy`` over all pairs of ``old`` and ``new`` of the same keys whose names are alike by ``least``.
+
+    No pair is made unless a name asks for it: each old name in order looks for its likest new one among the free, until
+    none is free. A group is a row of its names, of either side, and groups are independent.
+    """
+    side = lambda df, c: df.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct(F.col(c).alias("name"), F.lower(c).alias("low")))).alias(c))
+    named = side(old.where("old is not null"), "old").join(side(new.where("new is not null"), "new"), keys)
+    kind = dict(old.dtypes) | dict(new.dtypes)
+    pair = f"array<struct<old:{kind['old']},new:{kind['new']}>>"
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *group, olds, news = batch.columns
+            for i in range(batch.num_rows):
+                free, others, out = olds[i].as_py(), news[i].as_py(), []
+                alike = names.Alike([x["low"] for x in others])
+                for x in free:
+                    if not len(alike.free):
+                        break
+                    if (j := alike.take(x["low"], least)) is not None:
+                        out.append({"old": x["name"], "new": others[j]["name"]})
+                kind = pa.list_(pa.struct([("old", pa.string()), ("new", pa.string())]))
+                yield pa.record_batch([*[g.slice(i, 1) for g in group], pa.array([out], kind)], [*keys, "pairs"])
+
+    # groups differ in work more than in bytes, by which partitions would be joined
+    spread = named.repartition(int(old.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    made = spread.mapInArrow(match, ", ".join([*[f"{k} {kind[k]}" for k in keys], f"pairs {pair}"]))
+    return made.select(*keys, F.inline("pairs"))
+
+
 def overlap_candidates(old: DataFrame, new: DataFrame, least: float) -> DataFrame:
     """Pairs of ``name, items`` rows by Jaccard similarity of at least ``least`` (above 0), of ``old, new, jaccard``.
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.functions import names
 from specloom.operators import diff
 from specloom.session import table
 
@@ -158,8 +157,7 @@ def rename_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = lambda c: F.floor(F.col(c) / 1000).alias("level")
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), level("c_acctbal"), F.col("c_name").alias("old"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), level("s_acctbal"), F.col("s_name").alias("new"))
-    scored = c.join(s, ["nation", "level"]).withColumn("score", names.name_similarity(F.col("old"), F.col("new"), 0.6)).where("score >= 0.6")
-    return diff.greedy(scored, ["nation", "level"])
+    return diff.greedy_alike(c, s, ["nation", "level"], 0.6)
 
 
 QUERIES = {f.__name__: f for f in (diff_full, change_summary, diff_entities_props, diff_enums, diff_shallow, set_ops, rename_jaccard, rename_greedy, rename_fuzzy)}

@@ -1,11 +1,14 @@
 """Queries over tables of another size than the given ones: nothing in them grows with the table, and results stay those of the SQL."""
 
+import random
 import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from specloom.operators import prose
+from specloom.functions import names
+from specloom.operators import diff, prose
 from specloom.plans import artifacts, catalogue, rdf
 
 BASE = "/root/testdata/sf0.001"
@@ -86,3 +89,20 @@ def test_status_tables_of_a_long_document(spark):
     long = "".join(f"of success {i:0200}\n|===\n|`c.{i}` |m |u\n|===\n" for i in range(10_000))
     docs = spark.createDataFrame([(0, long)], "k int, text string")
     assert [tuple(r) for r in prose.status_codes(docs, ["k"]).groupBy("category").count().collect()] == [("success", 10_000)]
+
+
+def test_fuzzy_pairs_are_the_greedy_ones(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abAB1") for _ in range(r.choice((0, 3, 6, 8))))
+    rows = [(r.randint(0, 3), word(), word()) for _ in range(160)] + [(1, "x" * 70, "x" * 65 + "y" * 9), (1, "x" * 63 + "é", None), (2, None, "a"), (7, "a", None)]
+    df = spark.createDataFrame(rows, "k int, old string, new string")
+    scored = df.select("k", "old").distinct().join(df.select("k", "new").distinct(), "k").withColumn("score", names.name_similarity(F.col("old"), F.col("new"), 0.6)).where("score >= 0.6")
+    want = {tuple(x) for x in diff.greedy(scored, ["k"]).select("k", "old", "new").collect()}
+    got = [tuple(x) for x in diff.greedy_alike(df.select("k", "old"), df.select("k", "new"), ["k"], 0.6).select("k", "old", "new").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
+def test_fuzzy_makes_no_pairs(spark, grown):
+    """The pairs of a group were rows, most of them for nothing."""
+    plan = catalogue.QUERIES["rename_fuzzy"](spark, grown())._jdf.queryExecution().optimizedPlan().toString()
+    assert "EvalPython" not in plan and "MapInArrow" in plan
