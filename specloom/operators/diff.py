@@ -36,7 +36,7 @@ def greedy(candidates: DataFrame, keys: list[str], old: str = "old", new: str =
     """One-to-one pairs: in order of ``old``, each takes its best ``new`` that is still free.
 
     Of equal scores the smaller name wins. Within ``keys`` a group's candidates fold in one row, and groups are
-    independent. Without keys there is but one group, of any size, so it is matched by rounds of offers instead: every
+    independent. Without keys there is but one group, of any size. A large one is matched by rounds of offers: every
     old name offers to its best new one that hasn't turned it down, and each new one holds the first in order that has
     come and turns down all later ones. Once no offer is turned down, the held ones are the same pairs.
     """
@@ -52,16 +52,46 @@ def greedy(candidates: DataFrame, keys: list[str], old: str = "old", new: str =
     return group.select(*keys, F.inline(fold)).withColumnsRenamed({"o": old, "n": new})
 
 
+#: So many candidates are matched in one pass of one task, and more after so many rounds of offers.
+FOLD, ROUNDS = 1 << 20, 4
+
+
 def _offers(left: DataFrame) -> DataFrame:
-    """Pairs ``o, n`` by rounds of offers; each round is a checkpoint of the candidates that are left."""
+    """Pairs ``o, n`` by rounds of offers; each round is a checkpoint of the candidates that are left.
+
+    Where all want the same ones, each round settles but one pair, so few candidates, and what a few rounds leave, are
+    matched in order instead.
+    """
     left = cut(left)
-    while True:
+    for _ in range(ROUNDS):
+        if left.count() <= FOLD:
+            break
         offer = left.groupBy("o").agg(F.min(F.struct((-F.col("s")).alias("s"), "n"))["n"].alias("n"))
         held = cut(offer.groupBy("n").agg(F.min("o").alias("first"), F.count("*").alias("offers")))
         # whoever comes after the one that is held can't get it any more
         if not held.where("offers > 1").limit(1).count():
             return held.select(F.col("first").alias("o"), "n")
         left = cut(left.join(held.select("n", "first"), "n", "left").where("first is null or o <= first").select("o", "n", "s"))
+    return _in_order(left)
+
+
+def _in_order(left: DataFrame) -> DataFrame:
+    """Pairs ``o, n`` of candidates in one pass over them in order, sorted on disk; only the names that are taken are kept in memory."""
+    kind = dict(left.dtypes)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken, last = set(), None
+        for batch in batches:
+            olds, news = [], []
+            for o, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if o != last and n not in taken:
+                    taken.add(n)
+                    last = o
+                    olds.append(o)
+                    news.append(n)
+            yield pa.record_batch([pa.array(x, c.type) for x, c in zip((olds, news), batch.columns)], batch.schema.names)
+
+    return left.repartition(1).sortWithinPartitions("o", F.col("s").desc(), "n").select("o", "n").mapInArrow(match, f"o {kind['o']}, n {kind['n']}")
 
 
 def greedy_alike(old: DataFrame, new: DataFrame, keys: list[str], least: float) -> DataFrame:
@@ -98,14 +128,20 @@ def greedy_alike(old: DataFrame, new: DataFrame, keys: list[str], least: float)
 def overlap_candidates(old: DataFrame, new: DataFrame, least: float) -> DataFrame:
     """Pairs of ``name, items`` rows by Jaccard similarity of at least ``least`` (above 0), of ``old, new, jaccard``.
 
-    A pair that similar shares an item, so it is an equi-join on items; sets that are both empty are alike by definition.
+    Sets that are both empty are alike by definition.
     """
     a = old.select(F.col("name").alias("old"), F.array_distinct("items").alias("oi"))
     b = new.select(F.col("name").alias("new"), F.array_distinct("items").alias("ni"))
-    pairs = a.select("old", F.explode("oi").alias("i")).join(b.select("new", F.explode("ni").alias("i")), "i").groupBy("old", "new").agg(F.count("*").alias("both"))
-    scored = pairs.join(a, "old").join(b, "new").select("old", "new", (F.col("both") / (F.size("oi") + F.size("ni") - F.col("both"))).alias("jaccard"))
     empty = a.where("size(oi) = 0").select("old").crossJoin(b.where("size(ni) = 0").select("new")).withColumn("jaccard", F.lit(1.0))
-    return scored.where(F.col("jaccard") >= least).unionByName(empty)
+    return item_overlaps(a.select("old", F.explode("oi").alias("i")), b.select("new", F.explode("ni").alias("i")), least).unionByName(empty)
+
+
+def item_overlaps(old: DataFrame, new: DataFrame, least: float) -> DataFrame:
+    """J10 and P32 on distinct ``old, i`` and ``new, i``: a pair that similar shares an item, so it is an equi-join on items; of the sets only their sizes are joined to it."""
+    a, b = old.groupBy("old").agg(F.count("*").alias("os")), new.groupBy("new").agg(F.count("*").alias("ns"))
+    pairs = old.join(new, "i").groupBy("old", "new").agg(F.count("*").alias("both"))
+    scored = pairs.join(a, "old").join(b, "new").select("old", "new", (F.col("both") / (F.col("os") + F.col("ns") - F.col("both"))).alias("jaccard"))
+    return scored.where(F.col("jaccard") >= least)
 
 
 def rename_entities(old: DataFrame, new: DataFrame) -> DataFrame:

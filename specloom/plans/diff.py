@@ -118,14 +118,16 @@ def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(c.subtract(s), "except").unionByName(named(c.intersect(s), "intersect")).unionByName(named(c.unionByName(s).distinct(), "union"))
 
 
-def _brands(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where(where).groupBy(F.col("p_brand").alias("name")).agg(F.collect_set("p_name").alias("items"))
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands of small and of large parts that share at least a tenth of their names."""
+    p = table(spark, sf_dir, "part").where("p_brand is not null and p_name is not null")
+    brands = lambda where, side: p.where(where).select(F.col("p_brand").alias(side), F.col("p_name").alias("i")).distinct()
+    return diff.item_overlaps(brands("p_size < 20", "old"), brands("p_size >= 20", "new"), 0.1)
 
 
 def rename_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brands of small and of large parts that share at least a tenth of their names."""
-    pairs = diff.overlap_candidates(_brands(spark, sf_dir, "p_size < 20"), _brands(spark, sf_dir, "p_size >= 20"), 0.1)
-    return pairs.select("old", "new", F.round("jaccard", 9).alias("jaccard"))
+    return _overlaps(spark, sf_dir).select("old", "new", F.round("jaccard", 9).alias("jaccard"))
 
 
 _JACCARD_SQL = """
@@ -137,8 +139,7 @@ WHERE len(list_intersect(a.i, z.i)) / (len(a.i) + len(z.i) - len(list_intersect(
 
 def rename_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same brands matched one to one in their order, the best free one first."""
-    pairs = diff.overlap_candidates(_brands(spark, sf_dir, "p_size < 20"), _brands(spark, sf_dir, "p_size >= 20"), 0.1)
-    return diff.greedy(pairs.withColumn("score", F.round("jaccard", 9)), [])
+    return diff.greedy(_overlaps(spark, sf_dir).withColumn("score", F.round("jaccard", 9)), [])
 
 
 _GREEDY_SQL = f"""

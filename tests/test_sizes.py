@@ -106,3 +106,23 @@ def test_fuzzy_makes_no_pairs(spark, grown):
     """The pairs of a group were rows, most of them for nothing."""
     plan = catalogue.QUERIES["rename_fuzzy"](spark, grown())._jdf.queryExecution().optimizedPlan().toString()
     assert "EvalPython" not in plan and "MapInArrow" in plan
+
+
+def test_greedy_settles_few_candidates_in_one_pass(spark, monkeypatch):
+    """All want the same ones: rounds of offers settle one pair each."""
+    cand = [(f"o{i:02}", f"n{j:02}", 1.0) for i in range(25) for j in range(25)]
+    df = spark.createDataFrame(cand, "old string, new string, score double")
+    cuts = []
+    cut = diff.cut
+    monkeypatch.setattr(diff, "cut", lambda d: cuts.append(1) or cut(d))
+    for fold in (diff.FOLD, 10):  # the rest of a large one after some rounds
+        cuts.clear()
+        monkeypatch.setattr(diff, "FOLD", fold)
+        assert {tuple(r) for r in diff.greedy(df, []).select("old", "new").collect()} == {(f"o{i:02}", f"n{i:02}") for i in range(25)}
+        assert len(cuts) <= 1 + 2 * diff.ROUNDS
+
+
+def test_overlaps_join_no_sets(spark, grown):
+    plan = diff.item_overlaps(*[spark.createDataFrame([("a", "x"), ("b", "x"), ("a", "y")], f"{c} string, i string") for c in ("old", "new")], 0.6)
+    assert sorted((r.old, r.new, r.jaccard) for r in plan.collect()) == [("a", "a", 1.0), ("b", "b", 1.0)]
+    assert "collect_set" not in catalogue.QUERIES["rename_jaccard"](spark, grown())._jdf.queryExecution().optimizedPlan().toString()
