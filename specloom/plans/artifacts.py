@@ -176,6 +176,11 @@ def rules_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, documents.rules_document(_graph(spark, sf_dir)))
 
 
+def _unlike(k: Column) -> Column:
+    """A name that shares no character with others, whatever the key: digits would make those of long keys alike."""
+    return F.concat(F.lit("zq"), F.translate(k.cast("string"), "0123456789", "bcdfghjklt"))
+
+
 def rename_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers under a new name, known by an alias or by members and likeness of names."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
@@ -184,7 +189,7 @@ def rename_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("S"), k.cast("string"), F.lit("Map"))
     old = s.select(name.alias("name"), F.array(F.concat(F.lit("supplier-"), k.cast("string"))).alias("aliases"), item("a", "b", "c", "d", "e").alias("items"))
     new = s.select(
-        F.when(k % 3 == 0, F.concat(F.lit("Renamed"), k.cast("string"))).when(k % 15 == 1, F.concat(F.lit("zq"), k.cast("string"))).when(k % 3 == 1, F.concat(name, F.lit("V2"))).otherwise(name).alias("name"),
+        F.when(k % 3 == 0, F.concat(F.lit("Renamed"), k.cast("string"))).when(k % 15 == 1, _unlike(k)).when(k % 3 == 1, F.concat(name, F.lit("V2"))).otherwise(name).alias("name"),
         F.array(F.when(k % 3 == 0, F.concat(F.lit("Supplier_"), k.cast("string"))).otherwise(F.concat(F.lit("x-"), k.cast("string")))).alias("aliases"), item("a", "b", "c", "d").alias("items"))
     return diff.rename_entities(old, new)
 

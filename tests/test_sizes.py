@@ -126,3 +126,8 @@ def test_overlaps_join_no_sets(spark, grown):
     plan = diff.item_overlaps(*[spark.createDataFrame([("a", "x"), ("b", "x"), ("a", "y")], f"{c} string, i string") for c in ("old", "new")], 0.6)
     assert sorted((r.old, r.new, r.jaccard) for r in plan.collect()) == [("a", "a", 1.0), ("b", "b", 1.0)]
     assert "collect_set" not in catalogue.QUERIES["rename_jaccard"](spark, grown())._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_renamed_entities_of_long_keys(spark, grown):
+    """Suppliers from 1006 on had an unlike name that was alike by its digits."""
+    agrees(spark, grown(supplier=150), "rename_entities")
