@@ -201,7 +201,7 @@ def rename_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = lambda name, kind: p.select(
         F.col("p_brand").alias("entity"), name.alias("name"), kind.alias("type"), (k % 2 == 0).alias("required"), F.lit("1").alias("cardinality"), F.concat(F.lit("t"), k.cast("string")).alias("reference_target"), F.lit("").alias("array_item_type"), F.lit(False).alias("deprecated"))
     name = F.concat(F.lit("prop"), k.cast("string"))
-    new = row(F.when(k % 10 == 4, F.concat(F.lit("zq"), k.cast("string"))).when(k % 2 == 0, F.concat(name, F.lit("_x"))).otherwise(name), F.when(k % 6 == 0, "integer").otherwise("string"))
+    new = row(F.when(k % 10 == 4, _unlike(k)).when(k % 2 == 0, F.concat(name, F.lit("_x"))).otherwise(name), F.when(k % 6 == 0, "integer").otherwise("string"))
     return diff.rename_properties(diff.outer(row(name, F.lit("string")), new, ["entity", "name"]))
 
 

@@ -131,3 +131,8 @@ def test_overlaps_join_no_sets(spark, grown):
 def test_renamed_entities_of_long_keys(spark, grown):
     """Suppliers from 1006 on had an unlike name that was alike by its digits."""
     agrees(spark, grown(supplier=150), "rename_entities")
+
+
+def test_renamed_properties_of_long_keys(spark, grown):
+    """Parts from 10004 on had an unlike name that was alike by its digits."""
+    agrees(spark, grown(part=60), "rename_properties")
