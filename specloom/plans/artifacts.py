@@ -50,20 +50,24 @@ _CDDL = (
 )
 
 
-def _cddl_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Two files of maps, one a brand, with a field for each part; every fourth field is deprecated."""
+def _cddl_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of maps, one a brand, with a field for each part, small and large ones in other files; every fourth field is deprecated."""
     p = table(spark, sf_dir, "part").withColumn("k", F.col("p_partkey"))
     about = F.when(F.col("k") % 4 == 0, F.concat(F.lit("(deprecated) "), "p_type")).otherwise(F.col("p_type"))
     line = F.concat(F.lit("  "), _by_kind(F.col("k"), tuple(c[0] for c in _CDDL)), F.lit(", ; "), about)
-    part = F.when(F.col("p_size") <= 25, 1).otherwise(2).cast("bigint")
+    part = _file(F.col("k")) * 2 + F.when(F.col("p_size") <= 25, 1).otherwise(2)
     maps = p.groupBy(part.alias("part"), "p_brand").agg(F.sort_array(F.collect_list(F.struct("k", line.alias("l"))))["l"].alias("ls"))
     one = F.concat(F.lit("; All of "), "p_brand", F.lit("\n"), F.translate("p_brand", "#", "-"), F.lit("-map = {\n  common-map,\n"), F.array_join("ls", "\n"), F.lit("\n  * tstr => any\n}\n"))
     files = maps.groupBy("part").agg(F.array_join(F.sort_array(F.collect_list(one)), "\n").alias("text"))
-    return cddl.tables(files.select(_version(), "part", F.concat(F.lit("file"), F.col("part").cast("string")).alias("file"), "text"), compat=False)
+    return files.select(_version(), "part", F.concat(F.lit("file"), F.col("part").cast("string")).alias("file"), "text")
+
+
+def _cddl_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return cddl.tables(_cddl_files(spark, sf_dir), compat=False)
 
 
 def cddl_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maps of two files, by name."""
+    """Maps of all files, by name."""
     return _cddl_tables(spark, sf_dir)["entity"].select("name", "description", F.array_join("aliases", ",").alias("aliases"), "deprecated")
 
 

@@ -136,3 +136,10 @@ def test_renamed_entities_of_long_keys(spark, grown):
 def test_renamed_properties_of_long_keys(spark, grown):
     """Parts from 10004 on had an unlike name that was alike by its digits."""
     agrees(spark, grown(part=60), "rename_properties")
+
+
+@pytest.mark.parametrize("name", ["cddl_entities", "cddl_properties", "cddl_edges"])
+def test_cddl_files_stay_small(spark, grown, name):
+    d = grown(part=30)
+    assert longest(artifacts._cddl_files(spark, d)) < 1.2 * longest(artifacts._cddl_files(spark, grown(part=10))) < 100_000
+    agrees(spark, d, name)
