@@ -36,12 +36,12 @@ def triples_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def triples_property(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Properties."""
-    return rdf.property_triples(_properties(spark, sf_dir)).distinct()
+    return rdf.distinct_property_triples(_properties(spark, sf_dir))
 
 
 def triples_restriction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cardinality restrictions."""
-    return rdf.restriction_triples(_properties(spark, sf_dir)).distinct()
+    return rdf.distinct_restriction_triples(_properties(spark, sf_dir))
 
 
 def triples_relationship(spark: SparkSession, sf_dir: str) -> DataFrame:

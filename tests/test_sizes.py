@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from specloom.functions import names
 from specloom.operators import diff, prose
+from specloom.operators import rdf as rdf_triples
 from specloom.plans import artifacts, catalogue, rdf
 
 BASE = "/root/testdata/sf0.001"
@@ -143,3 +144,17 @@ def test_cddl_files_stay_small(spark, grown, name):
     d = grown(part=30)
     assert longest(artifacts._cddl_files(spark, d)) < 1.2 * longest(artifacts._cddl_files(spark, grown(part=10))) < 100_000
     agrees(spark, d, name)
+
+
+def test_triples_are_distinct_without_comparing_them(spark, grown):
+    schema = "entity string, name string, type string, description string, required boolean, cardinality string, enum_values array<string>, reference_target string, array_item_type string, pattern string, deprecated boolean"
+    rows = [("a b", "n.x", "array", "d", True, "1", ["v", None], "", "Item", "", False), ("a b", "n_x", "array", "e", False, "1..*", None, "", "Item", "", True), ("a b", "n_x", "array", "e", False, "1..*", None, "", "Item", "", True),
+            ("a_b", "n-x", "odd", None, None, None, [], None, None, None, None), ("c", None, "union", "d", True, "1", [], "", "", "p", False), ("a.b", "c", "map", "", True, "0..1", [], "T", "", "", False)]
+    p = spark.createDataFrame(rows, schema)
+    for plain, distinct in ((rdf_triples.property_triples, rdf_triples.distinct_property_triples), (rdf_triples.restriction_triples, rdf_triples.distinct_restriction_triples)):
+        every = [tuple(r) for r in plain(p).collect()]
+        assert len(set(every)) < len(every)
+        assert sorted(map(str, distinct(p).collect())) == sorted(map(str, plain(p).distinct().collect()))
+    for name in ("triples_property", "triples_restriction"):  # triples are made last of all
+        plan = catalogue.QUERIES[name](spark, grown())._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Generate") < plan.index("Aggregate")
